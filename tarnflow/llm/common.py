@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -92,8 +91,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer file ``name`` lies; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-ASCII_WORD = re.compile(rb"[^\x20\x09-\x0D]+")

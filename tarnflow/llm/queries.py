@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash_dedup, url_filter
-from .common import table
+from . import fingerprint, mixing, packing, simhash_dedup, token_file, url_filter
+from .common import new_path, table, vocabulary
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,26 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_file.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_file.read(spark, path, with_ids=False)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rules_frame(spark, url_filter.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op7_packing, op9_url_filter)}
 
 ORACLES = {"op9_url_filter": url_filter.ORACLE_SQL}
