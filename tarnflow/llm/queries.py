@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, packing, simhash_dedup, token_file, url_filter
+from . import fingerprint, language, mixing, packing, simhash_dedup, token_file, toxicity, url_filter
 from .common import new_path, table, vocabulary
 
 
@@ -30,6 +30,10 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path, with_ids=False)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -39,6 +43,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rules_frame(spark, url_filter.RULES))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op7_packing, op9_url_filter)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op6_language, op7_packing, op9_url_filter, op10_toxicity)}
 
 ORACLES = {"op9_url_filter": url_filter.ORACLE_SQL}
