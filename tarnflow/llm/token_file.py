@@ -81,7 +81,7 @@ def decode_planes(data: bytes, sizes: list[int], width: int, n_ids: int, plane:
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, plane: str = "bit", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, plane: str = "byte", block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), append ``end_id`` to each, and write all in ascending id order to ``path``.
 
     Rows without an id come last; rows that repeat an id follow one another by a

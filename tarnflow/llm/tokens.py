@@ -17,9 +17,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct pieces a table holds before it starts anew.
-PIECES = 1_000_000
+PIECES = 400_000
 #: Pieces that are joined into one text to be encoded.
-JOINED = 4096
+JOINED = 256
 SEPARATOR = "\x01"
 
 
