@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, packing, simhash_dedup, token_file, toxicity, url_filter
+from . import embedding_dedup, fingerprint, language, mixing, packing, simhash_dedup, token_file, toxicity, url_filter
 from .common import new_path, table, vocabulary
 
 
@@ -38,6 +38,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rules_frame(spark, url_filter.RULES))
@@ -48,6 +53,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op6_language, op7_packing, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op6_language, op7_packing, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
 
 ORACLES = {"op9_url_filter": url_filter.ORACLE_SQL}
