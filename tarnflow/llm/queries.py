@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprint, language, mixing, packing, simhash_dedup, token_file, toxicity, url_filter
+from . import embedding_dedup, fingerprint, language, mixing, packing, simhash_dedup, suffix_dedup, token_file, toxicity, url_filter
 from .common import new_path, table, vocabulary
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
@@ -53,6 +57,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op4_fingerprints, op5_token_file, op6_language, op7_packing, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op3_suffix_dedup, op4_fingerprints, op5_token_file, op6_language, op7_packing, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
 
 ORACLES = {"op9_url_filter": url_filter.ORACLE_SQL}
