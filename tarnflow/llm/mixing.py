@@ -170,3 +170,16 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: i
     more = F.when(F.col("extra") >= F.col("n"), 1).when(upto_last, 1).otherwise(0)
     out = out.withColumn("copies", (F.col("base") + more).cast("int"))
     return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resample(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as ``mix`` takes it (0 to ``cap`` times); same columns.
+
+    Rows that repeat an id and a size get the same number of copies.
+    """
+    taken = mix(docs, weights, cap, seed, id_col, text_col, source_col)
+    taken = taken.groupBy("id", "source").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    taken = materialize(taken.select(F.col("id").alias("_id"), F.col("source").alias("_source"), "_copies"), "taken")
+    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source"))
+    joined = docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
+    return joined.drop("_copy")

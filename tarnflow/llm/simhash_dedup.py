@@ -284,13 +284,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fp.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: that with the smallest id.
 
     Columns are those of ``docs``. A document without an id or alone in its group stays;
     of rows that repeat an id one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, budget)
+    groups = simhash_groups(docs, id_col, text_col, budget, width)
     keep = groups.filter("id = component").select(F.col("id").alias("_kept_id")).distinct()
     first = docs.join(keep, docs[id_col] == F.col("_kept_id"), "left_semi")
     one = first.dropDuplicates([id_col])
