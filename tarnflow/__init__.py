@@ -1 +1,3 @@
 """Record pipelines on Spark DataFrames."""
+
+__version__ = "0.1.0"

@@ -1 +1 @@
-"""Record pipelines on Spark DataFrames."""
+"""Pipelines, the command line, and the registered queries."""
