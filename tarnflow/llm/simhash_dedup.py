@@ -14,12 +14,19 @@ again and again until all are small (``_split``). Nothing is capped.
 
 Within a task every link found is merged at once, so that a task returns for
 each fingerprint at most one link (to the head of its local group) and no group
-of copies ever becomes a list of all its pairs.
+of copies ever becomes a list of all its pairs. Node pairs all of whose
+fingerprints are in one group already are not walked any further.
+
+``simhash_groups`` links 64-bit fingerprints within a few bits. Texts of a set
+similarity of 0.8 differ in about 15 of 100 bits, too many for that, so
+``similar_groups`` takes fingerprints of 512 bits, joins short segments of them by
+the same walk with a small budget each, and lets the whole fingerprint decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, materialize, partitions, small_batches, texts
 from .components import components
+from .terms import U, Words, code_points, is_space, mix
 
 BITS = 64
 #: A piece of work (pair of trie nodes) with more fingerprints than this is split.
@@ -81,7 +89,7 @@ def _masks(budget: int) -> list[int]:
 
 
 def _rotations(fps: DataFrame, budget: int) -> DataFrame:
-    """One row per fingerprint and block: ``(tab, depth, a, b, side, path)``, path = bits with that block on top."""
+    """One row per fingerprint and block: ``(tab, depth, a, b, side, path, id, full)``, path = bits with that block on top."""
     parts = budget + 1
     rows = []
     for t in range(parts):
@@ -90,23 +98,22 @@ def _rotations(fps: DataFrame, budget: int) -> DataFrame:
         path = F.shiftleft("fp", by).bitwiseOR(F.shiftrightunsigned("fp", BITS - by)) if by else F.col("fp")
         node = F.shiftrightunsigned(path, BITS - top)
         rows.append(F.struct(F.lit(t).alias("tab"), F.lit(top).alias("depth"), node.alias("a"), node.alias("b"), F.lit(0).alias("side"), path.alias("path")))
-    return fps.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return fps.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.*", F.col("fp").alias("id"), F.lit(None).cast("binary").alias("full"))
 
 
 KEY = ["tab", "depth", "a", "b"]
 
 
-def _split(work: DataFrame, budget: int, limit: int) -> DataFrame:
-    """Deal pieces of work with more than ``limit`` fingerprints to pairs of child nodes, until none is left."""
+def _split(work: DataFrame, budget: int, limit: int, bits: int) -> DataFrame:
+    """Deal pieces of work with more than ``limit`` fingerprints to pairs of child nodes, until none is left that has children."""
     while True:
-        large = materialize(work.groupBy(*KEY).count().filter((F.col("count") > limit) & (F.col("depth") < BITS)).drop("count"), "large")
+        large = materialize(work.groupBy(*KEY).count().filter((F.col("count") > limit) & (F.col("depth") < bits)).drop("count"), "large")
         if large.limit(1).count() == 0:
             discard(large)
             return work
-        large_flag = large.withColumn("large", F.lit(True))
-        marked = work.join(large_flag, KEY, "left")
+        marked = work.join(large.withColumn("large", F.lit(True)), KEY, "left")
         calm = marked.filter("large is null").drop("large")
-        step = F.least(F.lit(STEP), F.lit(BITS) - F.col("depth"))
+        step = F.least(F.lit(STEP), F.lit(bits) - F.col("depth"))
         err = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
         hot = marked.filter("large").withColumn("step", step).withColumn("own", _low_bits(F.expr(f"shiftrightunsigned(path, {BITS} - depth - step)"), "step"))
         hot = hot.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in _masks(budget)])))
@@ -123,8 +130,10 @@ def _split(work: DataFrame, budget: int, limit: int) -> DataFrame:
             F.when(first, theirs).otherwise(mine).alias("b"),
             F.when(first, 0).otherwise(1).alias("side"),
             "path",
+            "id",
+            "full",
         )
-        work = materialize(calm.select(*KEY, "side", "path").unionByName(hot), "work")
+        work = materialize(calm.select(*KEY, "side", "path", "id", "full").unionByName(hot), "work")
 
 
 def _low_bits(value, width: str):
@@ -137,49 +146,51 @@ def trie_links(fps: DataFrame, budget: int = 3, limit: int = NODE_LIMIT) -> Data
     The links connect what is linked: each piece of work returns a spanning
     forest of its pairs, not the pairs.
     """
-    work = _split(materialize(_rotations(fps, budget), "work"), budget, limit)
-    n = partitions(fps.sparkSession)
-    parts = budget + 1
+    return _walked(materialize(_rotations(fps, budget), "work"), budget, limit, BITS, None)
+
+
+def _walked(work: DataFrame, budget: int, limit: int, bits: int, whole: int | None) -> DataFrame:
+    """Links ``(a, b)`` between the ids of ``work`` rows; with ``whole`` their full fingerprints may differ in so many bits."""
+    work = _split(work, budget, limit, bits)
+    n = partitions(work.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
         t = pa.Table.from_batches(rows)
-        cols = [t.column(c).to_numpy() for c in (*KEY, "side", "path")]
-        tab, depth, a, b, side, path = cols[0], cols[1], cols[2], cols[3], cols[4], cols[5].view(np.uint64)
+        tab, depth, a, b, side, path, ids = (t.column(c).to_numpy() for c in (*KEY, "side", "path", "id"))
+        path = path.view(np.uint64)
         order = np.lexsort((path, side, b, a, depth, tab))
-        tab, depth, a, b, side, path = (c[order] for c in (tab, depth, a, b, side, path))
+        tab, depth, a, b, side, path, ids = (c[order] for c in (tab, depth, a, b, side, path, ids))
+        near = None
+        if whole is not None:
+            full = np.frombuffer(b"".join(t.column("full").to_pylist()), np.uint64).reshape(len(order), -1)
+            near = lambda x, y: np.bitwise_count(full[order[x]] ^ full[order[y]]).sum(axis=1, dtype=np.int64) <= whole
         new = np.ones(len(tab), bool)
         new[1:] = (tab[1:] != tab[:-1]) | (depth[1:] != depth[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         lo = np.flatnonzero(new)
         hi = np.append(lo[1:], len(tab))
         zeros = np.concatenate([[0], np.cumsum(side == 0)])
         mid = lo + (zeros[hi] - zeros[lo])
-        heads = _walk(path, lo, mid, hi, depth[lo].astype(np.int64), a[lo], b[lo], budget)
+        heads = _walk(path, lo, mid, hi, depth[lo].astype(np.int64), a[lo], b[lo], budget, bits, near)
         link = np.flatnonzero(heads != np.arange(len(heads)))
         if len(link):
-            back = np.array([BITS * x // parts for x in range(parts)], np.uint64)[tab[link]]
-            held.append(_rotate_right(path[link], back))
-            held.append(_rotate_right(path[heads[link]], np.array([BITS * x // parts for x in range(parts)], np.uint64)[tab[heads[link]]]))
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[link]), pa.array(ids[heads[link]])], names=["a", "b"])
 
     return work.repartition(n, *KEY).mapInArrow(run, "a long, b long")
 
 
-def _rotate_right(x: np.ndarray, by: np.ndarray) -> np.ndarray:
-    return np.where(by == 0, x, (x >> by) | (x << (np.uint64(64) - np.where(by == 0, np.uint64(1), by))))
-
-
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def _walk(path, lo, mid, hi, depth, a, b, budget: int) -> np.ndarray:
+def _walk(path, lo, mid, hi, depth, a, b, budget: int, bits: int = BITS, near: Callable | None = None) -> np.ndarray:
     """Walk the trie pairs given by row ranges [lo, mid) x [mid, hi) (or [lo, hi) with itself where a == b).
 
-    ``path`` is sorted within each range. Returns for each row the row that heads its local group.
+    ``path`` is sorted within each range and has ``bits`` bits, the first on top.
+    ``near`` decides on rows whose paths are within the budget. Returns for each row
+    the row that heads its local group.
     """
     heads = np.arange(len(path))
     twin = a == b
@@ -187,24 +198,30 @@ def _walk(path, lo, mid, hi, depth, a, b, budget: int) -> np.ndarray:
     bl, bh = np.where(twin, lo, mid), hi
     todo = [(al, ah, bl, bh, _bits((a ^ b).view(np.uint64)), depth)]
     while todo:
-        al, ah, bl, bh, err, depth = todo.pop()
-        if len(al) > FRONTIER:
-            cut_at = len(al) // 2
-            todo.append(tuple(x[cut_at:] for x in (al, ah, bl, bh, err, depth)))
-            todo.append(tuple(x[:cut_at] for x in (al, ah, bl, bh, err, depth)))
+        part = todo.pop()
+        if len(part[0]) > FRONTIER:
+            half = len(part[0]) // 2
+            todo.append(tuple(x[half:] for x in part))
+            todo.append(tuple(x[:half] for x in part))
             continue
+        al, ah, bl, bh, err, depth = part
         live = (ah > al) & (bh > bl) & (err <= budget)
         live &= ~((al == bl) & (ah == bh) & (ah - al == 1))
-        al, ah, bl, bh, err, depth = (x[live] for x in (al, ah, bl, bh, err, depth))
+        if near is not None:
+            at = np.flatnonzero(live)
+            live[at] = ~_one_group(heads, al[at], ah[at], bl[at], bh[at])
+        al, ah, bl, bh, err, depth = (x[live] for x in part)
         if not len(al):
             continue
         # pairs of single leaves: the rest of the path is compared at once
         leaf = (ah - al == 1) & (bh - bl == 1)
+        end = ~leaf & (depth >= bits)
         if leaf.any():
-            x, y = al[leaf], bl[leaf]
-            near = _bits(path[x] ^ path[y]) <= budget
-            _merge(heads, x[near], y[near])
-            al, ah, bl, bh, err, depth = (v[~leaf] for v in (al, ah, bl, bh, err, depth))
+            _link(heads, path, al[leaf], bl[leaf], budget, near)
+        if end.any():
+            _link_ranges(heads, path, al[end], ah[end], bl[end], bh[end], budget, near)
+        on = ~leaf & ~end
+        al, ah, bl, bh, err, depth = (v[on] for v in (al, ah, bl, bh, err, depth))
         if not len(al):
             continue
         am, bm = _child(path, al, ah, depth), _child(path, bl, bh, depth)
@@ -223,6 +240,37 @@ def _walk(path, lo, mid, hi, depth, a, b, budget: int) -> np.ndarray:
     return _settle(heads)
 
 
+def _one_group(heads, al, ah, bl, bh) -> np.ndarray:
+    """Whether all rows of both ranges have one head."""
+    heads[:] = _settle(heads)
+    turns = np.concatenate([[0], np.cumsum(heads[1:] != heads[:-1])])
+    return (heads[al] == heads[bl]) & (turns[ah - 1] == turns[al]) & (turns[bh - 1] == turns[bl])
+
+
+def _link(heads, path, x, y, budget: int, near: Callable | None) -> None:
+    good = (_bits(path[x] ^ path[y]) <= budget) & (x != y)
+    x, y = x[good], y[good]
+    if near is not None and len(x):
+        apart = _root(heads, x) != _root(heads, y)
+        x, y = x[apart], y[apart]
+        good = near(x, y)
+        x, y = x[good], y[good]
+    _merge(heads, x, y)
+
+
+def _link_ranges(heads, path, al, ah, bl, bh, budget: int, near: Callable | None) -> None:
+    """All rows of range pairs that have no more bits to part them: first each with the head of the other side, then the rest."""
+    for lo, hi, other in ((al, ah, bl), (bl, bh, al)):
+        n = hi - lo
+        x = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        _link(heads, path, x, np.repeat(other, n), budget, near)
+    rest = ~_one_group(heads, al, ah, bl, bh)
+    for p, q, r, s in zip(al[rest], ah[rest], bl[rest], bh[rest], strict=True):
+        for x in range(p, q):
+            y = np.arange(max(r, x + 1) if (p, q) == (r, s) else r, s)
+            _link(heads, path, np.full(len(y), x), y, budget, near)
+
+
 def _child(path: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """First row in each [lo, hi) whose bit at ``depth`` is 1 (rows are sorted, so zeros come first)."""
     lo, hi = lo.copy(), hi.copy()
@@ -277,20 +325,115 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fp = materialize(fingerprints(docs, id_col, text_col, width), "fp")
     nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     linked = components(trie_links(nodes.select("fp"), budget, limit))
+    return _named(fp, nodes, linked).select("id", "fp", "component")
+
+
+#: Bits of a long fingerprint, its segments, and the bits and budget of a segment in tables up to and beyond ``MANY`` texts.
+LONG, SEGMENTS = 512, 12
+SEGMENT, SEGMENT_MANY, MANY = (24, 2), (32, 3), 1 << 22
+
+
+def long_fingerprints(batch: list[str], width: int = 5) -> np.ndarray:
+    """(texts, 64) bytes: SimHash of 512 bits over the ``width``-word shingles, repeats included.
+
+    Words and short texts are as in ``simhash_text``; without words all bits are 0.
+    """
+    n = len(batch)
+    if not n:
+        return np.zeros((0, LONG // 8), np.uint8)
+    points, starts = code_points(batch)
+    points = np.where((points >= 65) & (points <= 90), points + np.uint32(32), points)
+    words = Words(points, starts, ~is_space(points))
+    h, doc = words.hashes(), words.doc
+    count = np.bincount(doc, minlength=n)
+    left = (np.cumsum(count))[doc] - np.arange(len(doc))  # words from here to the end of the text
+    first = np.arange(len(doc)) == (np.cumsum(count) - count)[doc]
+    begins = np.flatnonzero((left >= width) | first)
+    term = np.zeros(len(begins), np.uint64)
+    for i in range(width):
+        at = begins + i
+        there = left[begins] > i
+        term = mix(term * U(31) + np.where(there, h[np.minimum(at, len(h) - 1)], U(0)) + U(i + 1))
+    owner = doc[begins]
+    votes = np.bincount(owner, minlength=n)
+    out = np.zeros((n, LONG), np.uint8)
+    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+    for word in range(LONG // 64):
+        value = mix(term + U((word + 1) * 0xD1342543DE82EF95 % (1 << 64))).view(np.uint8).reshape(-1, 8)
+        for i in range(8):
+            set_ = np.bincount(owner * 256 + value[:, i], minlength=n * 256).reshape(n, 256).astype(np.float32) @ ones
+            at = word * 64 + i * 8
+            out[:, at : at + 8] = 2 * set_ > votes[:, None]
+    return np.packbits(out, axis=1)
+
+
+def bits_apart(similarity: float, bits: int = LONG) -> int:
+    """Bits in which texts of a set similarity (Jaccard) are expected to differ."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, limit: int = NODE_LIMIT) -> DataFrame:
+    """One row per input row: ``(id, component)``, texts of an estimated similarity of at least ``similarity`` linked.
+
+    The similarity of ``width``-word shingles is estimated by 512-bit fingerprints.
+    Pairs are found that differ in at most 2 of 24 (3 of 32) bits in one of 12
+    segments: 98 of 100 at a similarity of 0.8, all but one of 1000 at 0.85. Equal
+    fingerprints are one class. Null and empty texts are alike; other cases are as in
+    ``simhash_groups``.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            fp = long_fingerprints(texts(b.column(1)), width)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "full"])
+
+    made = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, full binary")
+    fp = materialize(made.withColumn("fp", F.xxhash64("full")), "long")
+    nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full")), "nodes")
+    bits, budget = SEGMENT if nodes.count() <= MANY else SEGMENT_MANY
+    parts = budget + 1
+    each = bits // parts
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, 4096):
+            full = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            for i in range(SEGMENTS):
+                raw = full[:, i * bits // 8 : (i + 1) * bits // 8]
+                path = np.zeros((b.num_rows, 8), np.uint8)
+                path[:, : bits // 8] = raw
+                for r in range(parts):
+                    turned = np.zeros_like(path)
+                    turned[:, : bits // 8] = np.roll(path[:, : bits // 8], -r * each // 8, axis=1)
+                    p = turned.view(">u8").ravel().astype(np.uint64)
+                    node = (p >> U(BITS - each)).view(np.int64)
+                    same = np.full(b.num_rows, i * parts + r, np.int32)
+                    cols = [pa.array(same), pa.array(np.full(b.num_rows, each, np.int32)), pa.array(node), pa.array(node), pa.array(np.zeros(b.num_rows, np.int32)), pa.array(p.view(np.int64)), b.column(0), b.column(1)]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*KEY, "side", "path", "id", "full"])
+
+    schema = "tab int, depth int, a long, b long, side int, path long, id long, full binary"
+    work = materialize(nodes.select("fp", "full").mapInArrow(segments, schema), "work")
+    linked = components(_walked(work, budget, limit, bits, bits_apart(similarity)))
+    discard(work)
+    return _named(fp, nodes, linked).select("id", "component")
+
+
+def _named(fp: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows of ``fp`` with the smallest id of their fingerprint's component."""
     classes = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     classes = materialize(classes, "classes")
     first = materialize(classes.groupBy("label").agg(F.min("least").alias("component")), "first")
     named = materialize(classes.join(first, "label").select("fp", "component"), "named")
-    return fp.join(named, "fp").select("id", "fp", "component")
+    return fp.join(named, "fp")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: that with the smallest id.
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of ``similar_groups``: that with the smallest id.
 
     Columns are those of ``docs``. A document without an id or alone in its group stays;
     of rows that repeat an id one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, budget, width)
+    groups = similar_groups(docs, id_col, text_col, similarity, width)
     keep = groups.filter("id = component").select(F.col("id").alias("_kept_id")).distinct()
     first = docs.join(keep, docs[id_col] == F.col("_kept_id"), "left_semi")
     one = first.dropDuplicates([id_col])
