@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates (five-word shingles), that with the smallest id."""
-    return simhash_dedup.keep_first(docs, budget=3, width=5)
+    """One document of each group of near-duplicates by SimHash: five-word shingles, a similarity of 0.8 or more."""
+    return simhash_dedup.keep_first(docs, similarity=0.8, width=5)
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
