@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, materialize, small_batches, texts
+from .common import cut, fresh, materialize, small_batches, texts
 
 #: Words of a source's budget that the exact knapsack covers at once; what a budget has beyond is taken greedily first.
 EXACT_WORDS = 1 << 18
@@ -88,7 +88,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int =
             budget -= more * int(sizes[i])
     left = counts - take
     usable = order[(left[order] > 0) & (sizes[order] > 0) & (sizes[order] <= 2 * budget)]
-    top = int(budget + (sizes[usable].min() if len(usable) else 0))
+    top = int(min(2 * budget, (left * sizes)[usable].sum()))  # beyond twice the budget taking nothing is nearer
     # reach[w]: index of the last length used to make w words, spare copies by binary splitting
     reach = np.full(top + 1, -1, np.int64)
     reach[0] = len(sizes) * 64
@@ -101,11 +101,11 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int =
             have -= k_now
             k *= 2
     for j, (_, _, w) in enumerate(items):
-        if reach[budget] >= 0:
+        if budget <= top and reach[budget] >= 0:
             break
         if w > top:
             continue
-        new = (reach[w:] < 0) & (reach[:-w] >= 0) if w else np.zeros(0, bool)
+        new = (reach[w:] < 0) & (reach[:-w] >= 0)
         reach[w:][new] = j
     made = np.flatnonzero(reach >= 0)
     w = int(made[np.argmin(np.abs(made - budget))])
@@ -177,9 +177,10 @@ def resample(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, se
 
     Rows that repeat an id and a size get the same number of copies.
     """
+    key, origin, copies, copy = fresh(docs, "_id", "_source", "_copies", "_copy")
     taken = mix(docs, weights, cap, seed, id_col, text_col, source_col)
-    taken = taken.groupBy("id", "source").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    taken = materialize(taken.select(F.col("id").alias("_id"), F.col("source").alias("_source"), "_copies"), "taken")
-    on = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & docs[source_col].cast("string").eqNullSafe(F.col("_source"))
-    joined = docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
-    return joined.drop("_copy")
+    taken = taken.groupBy("id", "source").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    taken = materialize(taken.select(F.col("id").alias(key), F.col("source").alias(origin), F.col("copies").alias(copies)), "taken")
+    on = docs[id_col].cast("long").eqNullSafe(F.col(key)) & docs[source_col].cast("string").eqNullSafe(F.col(origin))
+    joined = docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(copy))
+    return joined.drop(copy)

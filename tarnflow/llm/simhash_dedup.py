@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, materialize, partitions, small_batches, texts
+from .common import cut, discard, fresh, materialize, partitions, small_batches, texts
 from .components import components
 from .terms import U, Words, code_points, is_space, mix
 
@@ -373,7 +373,7 @@ def bits_apart(similarity: float, bits: int = LONG) -> int:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, limit: int = NODE_LIMIT) -> DataFrame:
-    """One row per input row: ``(id, component)``, texts of an estimated similarity of at least ``similarity`` linked.
+    """One row per input row: ``(id, text_hash, component)``, texts of an estimated similarity of at least ``similarity`` linked.
 
     The similarity of ``width``-word shingles is estimated by 512-bit fingerprints.
     Pairs are found that differ in at most 2 of 24 (3 of 32) bits in one of 12
@@ -386,9 +386,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
             fp = long_fingerprints(texts(b.column(1)), width)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "full"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "text_hash", "full"])
 
-    made = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, full binary")
+    made = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, "id long, text_hash long, full binary")
     fp = materialize(made.withColumn("fp", F.xxhash64("full")), "long")
     nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full")), "nodes")
     bits, budget = SEGMENT if nodes.count() <= MANY else SEGMENT_MANY
@@ -415,7 +415,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = materialize(nodes.select("fp", "full").mapInArrow(segments, schema), "work")
     linked = components(_walked(work, budget, limit, bits, bits_apart(similarity)))
     discard(work)
-    return _named(fp, nodes, linked).select("id", "component")
+    return _named(fp, nodes, linked).select("id", "text_hash", "component")
 
 
 def _named(fp: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
@@ -434,7 +434,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of rows that repeat an id one stays.
     """
     groups = similar_groups(docs, id_col, text_col, similarity, width)
-    keep = groups.filter("id = component").select(F.col("id").alias("_kept_id")).distinct()
-    first = docs.join(keep, docs[id_col] == F.col("_kept_id"), "left_semi")
+    key, text = fresh(docs, "_kept_id", "_kept_text")
+    keep = groups.filter("id = component").select(F.col("id").alias(key), F.col("text_hash").alias(text)).distinct()
+    first = docs.join(keep, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(text)), "left_semi")
     one = first.dropDuplicates([id_col])
     return one.unionByName(docs.filter(F.col(id_col).isNull()))

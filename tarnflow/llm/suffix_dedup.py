@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, materialize, partitions, small_batches
+from .common import cut, discard, fresh, materialize, partitions, small_batches
 from .terms import U, mix
 
 LENGTH, GRAM = 100, 32
@@ -401,18 +401,18 @@ def _hot_windows(contexts: DataFrame, length: int) -> DataFrame:
     return again.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a unique long ``_rid`` in order of id, and its ``(doc, text)``.
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rid: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a unique long ``rid`` in order of id, and its ``(doc, text)``.
 
     The id itself, unless rows repeat or lack it; then rows are numbered in order of
     id (null last) and a hash of the text.
     """
     counted = docs.agg(F.count("*").alias("n"), F.count_distinct(F.col(id_col)).alias("d")).head()
     if counted.n == counted.d:
-        keyed = docs.withColumn("_rid", F.col(id_col).cast("long"))
+        keyed = docs.withColumn(rid, F.col(id_col).cast("long"))
     else:
-        keyed = materialize(docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col)).withColumn("_rid", F.monotonically_increasing_id()), "keyed")
-    return keyed, keyed.select(F.col("_rid").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        keyed = materialize(docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col)).withColumn(rid, F.monotonically_increasing_id()), "keyed")
+    return keyed, keyed.select(F.col(rid).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _repeated(base: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
@@ -461,7 +461,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     rows all but one are removed. An empty table gives no rows; extra columns are not read.
     """
     small_batches(docs.sparkSession)
-    keyed, base = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text")
+    keyed, base = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", "_rid")
     spans = _repeated(base, length, gram, hot)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,8 +487,9 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     exists, is set to the new number of characters of changed texts.
     """
     small_batches(docs.sparkSession)
-    keyed, base = _keyed(docs, id_col, text_col)
-    spans = _repeated(base, length, GRAM, HOT)
+    rid, key, marks_col = fresh(docs, "_rid", "_doc", "_spans")
+    keyed, base = _keyed(docs, id_col, text_col, rid)
+    spans = _repeated(base, length, GRAM, HOT).select(F.col("doc").alias(key), F.col("spans").alias(marks_col))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
@@ -503,7 +504,7 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(cols, names=[n for n in b.schema.names if n != "_spans"])
 
     rest = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns) if c != text_col]
-    joined = keyed.join(spans, F.col("_rid") == F.col("doc"), "left").select(F.col(text_col).alias("_text"), F.col("spans").alias("_spans"), *rest)
+    joined = keyed.join(spans, F.col(rid) == F.col(key), "left").select(F.col(text_col).alias("_text"), F.col(marks_col).alias("_spans"), *rest)
     kinds = ", ".join(f"`_{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns) if c != text_col)
     done = joined.mapInArrow(strip, "`_text` string" + (", " + kinds if kinds else ""))
     out = []

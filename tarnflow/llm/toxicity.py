@@ -116,7 +116,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.nda
     """Posterior of "toxic" for each row of ``votes`` (0/1, one column per voter).
 
     ``gold`` holds given labels 0 or 1, or -1 where there is none; they are one more,
-    rather accurate voter whose noise is estimated too.
+    rather accurate voter whose noise is estimated too. Their share of "toxic" is the
+    prior: as who abstains says nothing, the rows could not hold a fitted one back.
     """
     known = gold >= 0
     prior = float(np.clip(gold[known].mean() if known.any() else 0.1, 0.01, 0.99))
@@ -130,7 +131,6 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.nda
         z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))  # who abstains says nothing
         z = z + np.where(known, np.where(gold == 1, 1, -1) * np.log((1 - noise) / noise), 0)
         new = _sigmoid(z)
-        prior = float(np.clip(new.mean(), 0.005, 0.995))
         if known.any():
             wrong = np.where(gold == 1, 1 - new, new)[known].mean()
             noise = float(np.clip(wrong, 0.005, 0.2))
