@@ -106,20 +106,26 @@ def numbered(df: DataFrame, order, name: str, partition_by: Sequence[str] = ())
     return out.drop("_range", "_before")
 
 
-def carried(df: DataFrame, order, name: str, amount: Column, partition_by: Sequence[str] = (), how: str = "sum") -> DataFrame:
-    """``df`` with the running sum, min or max of ``amount`` up to and with each row."""
-    fold = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+_FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def carried(df: DataFrame, order, amounts: dict[str, tuple[str, Column]], partition_by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with running sums, minima or maxima up to and with each row: ``{name: (how, amount)}``."""
     if partition_by:
-        return df.withColumn(name, fold(amount).over(running(order, partition_by)))
-    r = ranged(df.withColumn("_amount", amount), order)
-    whole = r.groupBy("_range").agg(fold("_amount").alias("_whole"))
+        return df.withColumns({n: _FOLDS[how](c).over(running(order, partition_by)) for n, (how, c) in amounts.items()})
+    held = {n: f"_amount{i}" for i, n in enumerate(amounts)}
+    r = ranged(df.withColumns({held[n]: c for n, (_, c) in amounts.items()}), order)
+    folds = {n: _FOLDS[how] for n, (how, _) in amounts.items()}
+    whole = r.groupBy("_range").agg(*[folds[n](held[n]).alias(held[n]) for n in amounts])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    whole = whole.select("_range", fold("_whole").over(before).alias("_before"))
+    whole = whole.select("_range", *[folds[n](held[n]).over(before).alias(f"_before{held[n]}") for n in amounts])
     within = Window.partitionBy("_range").orderBy(*sort_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = r.join(F.broadcast(whole), "_range").withColumn(name, fold("_amount").over(within))
-    here, past = F.col(name), F.col("_before")
-    both = {"sum": F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)), "min": F.least(here, past), "max": F.greatest(here, past)}[how]
-    return out.withColumn(name, both).drop("_range", "_amount", "_before")
+    made = {}
+    for n, (how, _) in amounts.items():
+        here, past = folds[n](held[n]).over(within), F.col(f"_before{held[n]}")
+        made[n] = {"sum": F.coalesce(here, F.lit(0)) + F.coalesce(past, F.lit(0)), "min": F.least(here, past), "max": F.greatest(here, past)}[how]
+    out = r.join(F.broadcast(whole), "_range").withColumns(made)
+    return out.drop("_range", *held.values(), *[f"_before{h}" for h in held.values()])
 
 
 def place(order) -> Column:

@@ -105,7 +105,7 @@ def offset_safe(df: DataFrame, n: int, order) -> DataFrame:
 
 def _counted(df: DataFrame, order) -> DataFrame:
     """With the number of good rows up to each row."""
-    return carried(safe(df), order, "_good", F.when(F.col(ERROR).isNull(), 1).otherwise(0))
+    return carried(safe(df), order, {"_good": ("sum", F.when(F.col(ERROR).isNull(), 1).otherwise(0))})
 
 
 def distinct(df: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ Missing or unparseable numbers count as 0, as the fixed output names suggest; wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.access import get
 from .ordering import carried, keys, needed, numbered, ranged, sort_columns, window
@@ -27,7 +29,7 @@ def running_sum(df: DataFrame, field: str, order, partition_by: Sequence[str] =
     needed(order)
     v = _number(df, field, skip_missing)
     one = F.when(v.isNotNull(), 1).otherwise(0).cast("long")
-    out = carried(carried(df, order, "running_sum", F.coalesce(v, F.lit(0.0)), partition_by), order, "running_count", one, partition_by)
+    out = carried(df, order, {"running_sum": ("sum", F.coalesce(v, F.lit(0.0))), "running_count": ("sum", one)}, partition_by)
     return out.withColumn("running_avg", F.try_divide("running_sum", "running_count"))
 
 
@@ -53,7 +55,7 @@ def running_min_max(df: DataFrame, field: str, order, partition_by: Sequence[str
     """Adds ``running_min``, ``running_max`` and ``running_range``."""
     needed(order)
     v = _number(df, field, skip_missing)
-    out = carried(carried(df, order, "running_min", v, partition_by, "min"), order, "running_max", v, partition_by, "max")
+    out = carried(df, order, {"running_min": ("min", v), "running_max": ("max", v)}, partition_by)
     return out.withColumn("running_range", F.col("running_max") - F.col("running_min"))
 
 
@@ -65,24 +67,48 @@ def running_count(df: DataFrame, field: str, order, partition_by: Sequence[str]
     """
     needed(order)
     v = F.coalesce(get(df, field, str), F.lit("<nil>"))
+    if partition_by and with_map:
+        added = [T.StructField("total_count", T.LongType()), T.StructField("distinct_values", T.LongType()), T.StructField("distinct_counts", T.MapType(T.StringType(), T.LongType()))]
+        return _scan(df.withColumn("_v", v), order, partition_by, added, dict, _tally)
     out = numbered(df.withColumn("_v", v), order, "total_count", partition_by)
     lead = keys(order)
     mine = Window.partitionBy(*partition_by, "_v").orderBy(*sort_columns(order))
     out = out.withColumn("_nth", F.row_number().over(mine).cast("long"))
-    out = carried(out, lead, "distinct_values", F.when(F.col("_nth") == 1, 1).otherwise(0).cast("long"), partition_by)
+    out = carried(out, lead, {"distinct_values": ("sum", F.when(F.col("_nth") == 1, 1).otherwise(0).cast("long"))}, partition_by)
     if with_map:
-        # a value's count so far is its latest ordinal: the last of each value in the running list
-        if partition_by:
-            so_far = F.collect_list(F.struct("_v", "_nth")).over(window(order, partition_by).rowsBetween(Window.unboundedPreceding, 0))
-            out = out.withColumn("distinct_counts", _counts(so_far))
-        else:
-            out = _global_map(out, lead)
+        out = _global_map(out, lead)
     return out.drop("_v", "_nth")
 
 
-def _counts(pairs: Column) -> Column:
-    values = F.array_distinct(F.transform(pairs, lambda p: p["_v"]))
-    return F.map_from_entries(F.transform(values, lambda v: F.struct(v, F.size(F.filter(pairs, lambda p: p["_v"] == v)).cast("long"))))
+def _tally(counts: dict, v: str) -> tuple:
+    counts[v] = counts.get(v, 0) + 1
+    return sum(counts.values()), len(counts), dict(counts)
+
+
+def _scan(df: DataFrame, order, partition_by: Sequence[str], added: list[T.StructField], start: Callable, step: Callable) -> DataFrame:
+    """Rows of each key in order, a step each from its ``_v``; the state of one key at a time, whatever its length."""
+    by = [F.col(f"`{p}`") for p in partition_by]
+    dealt = df.repartition(*by).sortWithinPartitions(*by, *sort_columns(order))
+    schema = T.StructType([f for f in df.schema.fields if f.name != "_v"] + added)
+    kinds = [to_arrow_type(f.dataType) for f in added]
+    at = [df.columns.index(p) for p in partition_by]
+    value = df.columns.index("_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            out = []
+            for key, v in zip(zip(*(b.column(i).to_pylist() for i in at), strict=True), b.column(value).to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, start()
+                out.append(step(state, v))
+            if not out:
+                continue
+            made = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            rest = [b.column(i) for i in range(b.num_columns) if i != value]
+            yield pa.RecordBatch.from_arrays(rest + made, names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _global_map(df: DataFrame, order) -> DataFrame:
@@ -120,16 +146,15 @@ def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, p
     v = _number(df, field, False)
     base = df.withColumn("_v", v)
     fields = [f for f in base.schema.fields if f.name != "_v"]
-    names = [k.name for k in keys(order)]
-    ascending = [not k.desc for k in keys(order)]
+    added = [T.StructField("ema", T.DoubleType()), T.StructField("alpha", T.DoubleType())]
     if partition_by:
-        schema = T.StructType([*fields, T.StructField("ema", T.DoubleType()), T.StructField("alpha", T.DoubleType())])
 
-        def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(names, ascending=ascending, na_position="first", kind="stable")
-            return pdf.assign(ema=list(_ema(pdf["_v"], alpha, None)), alpha=alpha).drop(columns=["_v"])
+        def step(state: list, v: float) -> tuple:
+            now = alpha * v + (1 - alpha) * state[0] if state else v
+            state[:] = [now]
+            return now, alpha
 
-        return base.groupBy(*partition_by).applyInPandas(scan, schema)
+        return _scan(base, order, partition_by, added, list, step)
     n = numbered(base, order, "_n")
     r = ranged(n, order)
     # a range's own part: sum of weight * (1 - alpha) ** (rows after it in the range)
@@ -141,7 +166,7 @@ def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, p
     for x in ranges:
         start[x["_range"]] = carry
         carry = x.own if carry is None else x.own + (1 - alpha) ** x.n * carry
-    schema = T.StructType([*fields, T.StructField("ema", T.DoubleType()), T.StructField("alpha", T.DoubleType())])
+    schema = T.StructType([*fields, *added])
 
     def scan_range(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_n")

@@ -160,4 +160,4 @@ def test_against_plain_lists(spark, values, size, step):
     got = windowing.sliding_count_window(df, size, step, "i").orderBy("window").collect()
     assert [[x.i for x in r.rows] for r in got] == want
     assert [r.n for r in numbered(df, "-i", "n").orderBy("i").collect()] == list(range(len(v), 0, -1))
-    assert [r.m for r in carried(df, "i", "m", F.coalesce("x", F.lit(0)), how="max").orderBy("i").collect()] == [max(v[: i + 1]) for i in range(len(v))]
+    assert [r.m for r in carried(df, "i", {"m": ("max", F.coalesce("x", F.lit(0)))}).orderBy("i").collect()] == [max(v[: i + 1]) for i in range(len(v))]
