@@ -252,3 +252,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("u"))
     out = base.join(classes, (F.col("u") == F.col("v")) & F.col("id").isNotNull(), "left")
     return out.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("c", "id").alias("component"))
+
+
+ORACLE_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as x from embeddings
+  where len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.x, b.x) >= 0.9
+), reach as (
+  select vec_id as a, vec_id as b from embeddings union select reach.a, links.b from reach join links on links.a = reach.b
+)
+select vec_id, (select count(*) from links where links.a = vec_id) as n_links, r.c as component_id, vec_id = r.c as kept
+from embeddings join (select a, min(b) as c from reach group by a) r on r.a = vec_id
+"""

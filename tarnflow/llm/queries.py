@@ -59,4 +59,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_mixing, op3_suffix_dedup, op4_fingerprints, op5_token_file, op6_language, op7_packing, op8_embedding_dedup, op9_url_filter, op10_toxicity)}
 
-ORACLES = {"op9_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {"op3_suffix_dedup": suffix_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_url_filter": url_filter.ORACLE_SQL}

@@ -516,3 +516,29 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         else:
             out.append(F.col(f"_{i}").alias(c))
     return done.select(*out)
+
+
+ORACLE_SQL = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), w as (
+  select doc_id, i, substr(h, 2 * i + 1, 200) as s from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as i from d)
+), f as (
+  select s, min(doc_id * 4294967296 + i) as first from w group by s having count(*) > 1
+), dup as (
+  select w.doc_id, w.i from w join f on w.s = f.s where w.doc_id * 4294967296 + w.i <> f.first
+), g as (
+  select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as fresh from dup
+), runs as (
+  select doc_id, min(i) as a, max(i) + 100 as e from (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from g) group by doc_id, k
+), gaps as (
+  select doc_id, coalesce(lag(e) over (partition by doc_id order by a), 0) as a, a as e from runs
+  union all select doc_id, max(e), null from runs group by doc_id
+  union all select doc_id, 0, null from d where doc_id not in (select doc_id from runs)
+), kept as (
+  select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(e, length(h) // 2) - a)), '' order by a) as h from gaps join d using (doc_id) group by doc_id
+)
+select d.doc_id, cast(length(d.h) // 2 as bigint) as n_bytes, cast((length(d.h) - length(kept.h)) // 2 as bigint) as n_removed,
+  (select count(*) from runs where runs.doc_id = d.doc_id) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept using (doc_id)
+"""

@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct pieces a table holds before it starts anew.
-PIECES = 400_000
+PIECES = 500_000
 #: Pieces that are joined into one text to be encoded.
 JOINED = 256
 SEPARATOR = "\x01"
@@ -88,7 +88,7 @@ class Encoder:
             return ["\x00" + text]
         if self.kind == "words":
             return text.encode().lower().decode().replace("\n", " ").split(" ")
-        if text.replace("\n", " ").split(" ") != text.split():
+        if not _calm(text):
             return ["\x00" + text]
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = "\x00" + pieces[0]
@@ -136,6 +136,19 @@ class Encoder:
         return np.array([i for x in each for i in x], self.dtype), np.array(list(map(len, each)), np.int64)
 
 
+#: White space other than a space and a line end (fixed values, from Unicode and ASCII control codes).
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _calm(text: str) -> bool:
+    """Whether all white space is lone spaces and line ends, none at either end of the text."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return False
+    return not any(c in text for c in (_ODD if not text.isascii() else _ODD[:8]))
+
+
 def _regex(step: dict) -> str:
     return (step.get("pattern") or {}).get("Regex", "")
 
