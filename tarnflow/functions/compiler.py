@@ -48,7 +48,12 @@ def _join(a: T.DataType, b: T.DataType) -> T.DataType:
 
 
 def _to(x: Typed, t: T.DataType) -> Column:
-    return x.col if x.type == t else x.col.try_cast(t)
+    """``x`` as ``t``; literals are made so, and widening is a plain cast, so that filters still reach the scan."""
+    if x.type == t:
+        return x.col
+    if _is_number(x.type) and _is_number(t):
+        return F.lit(float(x.constant)) if x.constant is not None and not _is_whole(t) else x.col.cast(t)
+    return x.col.try_cast(t)
 
 
 class Compiler:
@@ -67,7 +72,7 @@ class Compiler:
         if v is None:
             return Typed(F.lit(None), NULL)
         kind = BOOL if isinstance(v, bool) else LONG if isinstance(v, int) else DOUBLE if isinstance(v, float) else TEXT
-        return Typed(F.lit(v).cast(kind), kind, v)
+        return Typed(F.lit(v).cast(LONG) if kind == LONG else F.lit(v), kind, v)
 
     def _name(self, node: Node, element) -> Typed:
         if node.value not in self.fields:
@@ -97,12 +102,12 @@ class Compiler:
     def _if(self, node: Node, element) -> Typed:
         test, yes, no = (self.compile(p, element) for p in node.parts)
         kind = _join(yes.type, no.type)
-        return Typed(F.when(F.coalesce(self._truth(test), F.lit(False)), _to(yes, kind)).otherwise(_to(no, kind)), kind)
+        return Typed(F.when(self._truth(test), _to(yes, kind)).otherwise(_to(no, kind)), kind)
 
     def _truth(self, x: Typed) -> Column:
         if not isinstance(x.type, (T.BooleanType, T.NullType)):
             raise ExpressionError(f"a condition must be true or false, not {x.type.simpleString()}")
-        return x.col.cast(BOOL)
+        return x.col if x.type == BOOL else x.col.cast(BOOL)
 
     def _unary(self, node: Node, element) -> Typed:
         x = self.compile(node.parts[0], element)
@@ -132,7 +137,8 @@ class Compiler:
         if op in ("<", ">", "<=", ">="):
             return Typed(self._compare(a, b, op), BOOL)
         if op == "in":
-            return Typed(self._contains(b, a), BOOL)
+            fixed = self._constants(node.parts[1], a.type)
+            return Typed(a.col.isin(*fixed) if fixed else self._contains(b, a), BOOL)
         if op in ("contains", "startsWith", "endsWith"):
             return Typed(self._contains(a, b) if op == "contains" else self._edge(a, b, op), BOOL)
         if op == "matches":
@@ -169,6 +175,16 @@ class Compiler:
         x, y = _to(a, kind), _to(b, kind)
         return {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
+    def _constants(self, node: Node, kind: T.DataType) -> list:
+        """The values of an array of literals of one kind with the field, which a scan can look up; else none."""
+        if node.kind != "array" or any(p.kind != "literal" or p.value is None for p in node.parts):
+            return []
+        values = [p.value for p in node.parts]
+        if isinstance(kind, T.StringType) and all(isinstance(v, str) for v in values):
+            return values
+        whole = _is_whole(kind) and all(isinstance(v, int) and not isinstance(v, bool) for v in values)
+        return values if whole else []
+
     def _contains(self, whole: Typed, part: Typed) -> Column:
         if isinstance(whole.type, T.ArrayType):
             kind = _join(whole.type.elementType, part.type)
@@ -404,9 +420,9 @@ def compile_expression(text: str, schema: T.StructType) -> Column:
 
 
 def compile_condition(text: str, schema: T.StructType) -> Column:
-    """The same for a condition: it must be true or false, and null counts as false."""
+    """The same for a condition, which must be true, false or null; a filter takes null for false."""
     c = Compiler(schema)
-    return F.coalesce(c._truth(c.compile(parse(text))), F.lit(False))
+    return c._truth(c.compile(parse(text)))
 
 
 def functions(category: str | None = None) -> list[tuple[str, str, str]]:

@@ -23,10 +23,8 @@ def _condition(df: DataFrame, cond: Column | str) -> Column:
 def _until(df: DataFrame, stop: Column, order, after: bool) -> DataFrame:
     """Rows before the first one for which ``stop`` holds, or (``after``) from it on."""
     at = place(order)
-    cut = df.filter(stop).agg(F.min(at).alias("_cut"))  # one row
-    joined = df.crossJoin(F.broadcast(cut))
-    before = F.col("_cut").isNull() | (at < F.col("_cut"))
-    return joined.filter(~before if after else before).drop("_cut")
+    cut = df.filter(stop).agg(F.min(at)).scalar()
+    return df.filter(at >= cut if after else cut.isNull() | (at < cut))
 
 
 def take_while(df: DataFrame, cond: Column | str, order) -> DataFrame:
@@ -52,10 +50,9 @@ def skip_until(df: DataFrame, cond: Column | str, order) -> DataFrame:
 def time_limit(df: DataFrame, time: str, seconds: float, order) -> DataFrame:
     """Rows until one is more than ``seconds`` after the first; rows without a time pass."""
     t = as_time(F.col(f"`{time}`"), df.schema[time].dataType)
-    first = df.filter(t.isNotNull()).agg(F.min_by(t, place(order)).alias("_first"))
-    timed = df.withColumn("_t", t).crossJoin(F.broadcast(first))
-    late = F.coalesce(F.col("_t") > F.col("_first") + F.make_dt_interval(secs=F.lit(float(seconds))), F.lit(False))
-    return _until(timed, late, order, after=False).drop("_t", "_first")
+    first = df.filter(t.isNotNull()).agg(F.min_by(t, place(order))).scalar()
+    late = F.coalesce(t > first + F.make_dt_interval(secs=F.lit(float(seconds))), F.lit(False))
+    return _until(df, late, order, after=False)
 
 
 def sort(df: DataFrame, order, numeric_key: bool = False) -> DataFrame:

@@ -88,7 +88,7 @@ class Clause:
     def holds(self, df: DataFrame) -> Column:
         out = F.lit(True)
         for name, op, literal in self.matches:
-            out = out & F.coalesce(match(df, name, op, literal), F.lit(False))
+            out = out & match(df, name, op, literal)
         for e in self.exprs:
             out = out & compile_condition(e, df.schema)
         return out
@@ -184,7 +184,7 @@ def where_safe(df: DataFrame, cond: Condition, error: Column | None = None) -> D
     """Good rows for which the condition holds, and all failed ones."""
     df = safe(df)
     bad = F.coalesce(F.col(ERROR), error if error is not None else F.lit(None).cast("string"))
-    return df.withColumn(ERROR, bad).filter(F.col(ERROR).isNotNull() | F.coalesce(condition(df, cond), F.lit(False)))
+    return df.withColumn(ERROR, bad).filter(F.col(ERROR).isNotNull() | condition(df, cond))
 
 
 # nested and serialised data
