@@ -54,6 +54,12 @@ def discard(df: DataFrame | None) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this package in the shared folder; call it once results are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tarnflow")
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

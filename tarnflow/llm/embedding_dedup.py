@@ -133,8 +133,8 @@ def _links(points: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
     bound = lists * PER_LIST if lists > 1 else 4 * LIST
     share = min(1.0, 1.2 * bound / n)
     drawn = points if share >= 1 else points.filter(F.xxhash64(F.lit(11), "rep") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024))))
-    sample = drawn.select("rep", "v").orderBy(F.xxhash64(F.lit(11), "rep")).limit(bound).toPandas()
-    q = Quantizer.fit(_unit(np.array(sample.v.tolist(), np.float64).reshape(len(sample), dim)), lists)
+    sample = drawn.select("rep", "v").orderBy(F.xxhash64(F.lit(11), "rep")).limit(bound).toArrow()
+    q = Quantizer.fit(_unit(_matrix(sample.column("v").combine_chunks())), lists)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 4096):
