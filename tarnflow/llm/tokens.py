@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Distinct pieces a table holds before it starts anew.
-PIECES = 500_000
+PIECES = 1_000_000
 #: Pieces that are joined into one text to be encoded.
 JOINED = 256
 SEPARATOR = "\x01"
