@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import subprocess
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -148,33 +149,46 @@ def read_json_safe(spark: SparkSession, path: str) -> DataFrame:
     """One object per line; all non-blank lines with ``_line_number`` (from 0, every line counts) and ``_error``."""
     lines = _in_order(spark.read.text(path), LINE, 0)
     lines = lines.filter(F.trim("value") != "")
-    fields = _json_schema(spark, lines)
     parsed = lines.withColumn("_ok", F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
+    fields = _json_schema(parsed.filter("_ok"))
     record = F.from_json("value", fields) if fields.fields else F.lit(None)
     out = parsed.withColumn("_r", F.when(F.col("_ok"), record))
     return out.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in fields.fields], LINE, F.when(~F.col("_ok"), F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))).alias(ERROR))
 
 
-def _json_schema(spark: SparkSession, lines: DataFrame) -> T.StructType:
-    # the reader's own inference, over the lines that are JSON; decimal and null columns become text
-    good = lines.filter(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).select("value")
-    kind = good.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).head().s
-    if not kind or not kind.startswith("OBJECT"):
+def _json_schema(objects: DataFrame) -> T.StructType:
+    """The type of all JSON objects in the text column ``value``, whatever their fields are called."""
+    found = objects.agg(F.schema_of_variant_agg(F.parse_json("value")).alias("s")).head().s
+    if not found or not found.startswith("OBJECT"):
         return T.StructType([])
-    ddl = _variant_ddl(kind)
-    found = T._parse_datatype_string(ddl) if ddl != "struct<>" else T.StructType([])
-    return found if isinstance(found, T.StructType) else T.StructType([])
-
-
-def _variant_ddl(kind: str) -> str:
-    out = kind.replace("OBJECT<", "struct<").replace("ARRAY<", "array<")
-    import re
-
-    out = re.sub(r"DECIMAL\(\d+,\s*0\)", "bigint", out)
-    out = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "double", out)
-    for a, b in (("BIGINT", "bigint"), ("DOUBLE", "double"), ("STRING", "string"), ("BOOLEAN", "boolean"), ("VOID", "string"), ("VARIANT", "string")):
-        out = re.sub(rf"\b{a}\b(?!`)", b, out)
-    return out
+    kind, rest = _variant_type(found)
+    return kind if isinstance(kind, T.StructType) and not rest else T.StructType([])
+
+
+def _variant_type(text: str) -> tuple[T.DataType, str]:
+    """The type at the start of a variant's schema, and the text behind it."""
+    if text.startswith("ARRAY<"):
+        inner, rest = _variant_type(text[6:])
+        return T.ArrayType(inner), rest.removeprefix(">")
+    if text.startswith("OBJECT<"):
+        rest, fields = text[7:], []
+        while not rest.startswith(">"):
+            rest = rest.removeprefix(", ")
+            if rest.startswith("`"):
+                m = re.match(r"`((?:[^`]|``)*)`: ", rest)
+                name = m[1].replace("``", "`")
+            else:
+                m = re.match(r"(.*?): ", rest, re.S)
+                name = m[1]
+            kind, rest = _variant_type(rest[m.end() :])
+            fields.append(T.StructField(name, kind))
+        return T.StructType(fields), rest[1:]
+    m = re.match(r"(\w+)(?:\((\d+),\s*(\d+)\))?", text)
+    if m[1] == "DECIMAL":
+        kind: T.DataType = T.LongType() if m[3] == "0" and int(m[2]) <= 18 else T.DoubleType()
+    else:
+        kind = {"BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "FLOAT": T.DoubleType(), "BOOLEAN": T.BooleanType()}.get(m[1], T.StringType())
+    return kind, text[m.end() :]
 
 
 def read_json(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -210,7 +224,7 @@ def json_rows(spark: SparkSession, text: io.TextIOBase) -> DataFrame:
     if not objects:
         return spark.createDataFrame([], T.StructType([]))
     lines = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(objects)], f"{LINE} long, value string")
-    fields = _json_schema(spark, lines)
+    fields = _json_schema(lines)
     return lines.withColumn("_r", F.from_json("value", fields)).select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in fields.fields], LINE)
 
 

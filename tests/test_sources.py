@@ -47,6 +47,8 @@ def test_json(spark, tmp_path):
     a.write_text('[{"x": 1}, {"x": 2}]')
     assert rows(readers.read_json_auto(spark, str(a)), "x") == [(1,), (2,)]
     assert rows(readers.json_rows(spark, io.StringIO('{"x": 1}\nbad\n{"x": 2.5}\n')), "x") == [(1.0,), (2.5,)]
+    odd = readers.json_rows(spark, io.StringIO('{"a b": 1, "STRING": "x", "c:d": {"e`f": [1.5, 2]}, "n": null, "BIGINT": true}\n'))
+    assert dict(odd.dtypes)["a b"] == "bigint" and odd.select("`c:d`").head()[0]["e`f"] == [1.5, 2.0] and odd.head()["STRING"] == "x"
     writers.write_json(df.drop("_line_number"), str(tmp_path / "o"))
     assert readers.read_json(spark, str(tmp_path / "o")).count() == 2
     j = spark.createDataFrame([(1, '{"a":[1]}')], "id long, js string")
