@@ -129,7 +129,7 @@ class Packer:
         return key, start
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", pieces: int | None = None) -> DataFrame:
     """Pieces of all documents in sequences: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     Every text (null: empty) is encoded whole and ended by ``end_id``; all its ids
@@ -137,12 +137,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
     documents, a window at a time, in the order they come; ``sequence_id`` is the
     task's number shifted by 40 bits plus a count, so a task that is run again gives
     the same. Rows without an id and rows that repeat one are packed like others. An
-    empty table gives no rows. Extra columns are not read.
+    empty table gives no rows. Extra columns are not read. ``pieces`` bounds the
+    encoder's table, where other stages need a worker's memory too.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, pieces)
         packer = Packer(limits, cut=True)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, tuple] = {}

@@ -16,7 +16,7 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct pieces a table holds before it starts anew.
+#: Distinct pieces a table holds before it starts anew (a million take about 200 MB).
 PIECES = 1_000_000
 #: Pieces that are joined into one text to be encoded.
 JOINED = 256
@@ -26,7 +26,8 @@ SEPARATOR = "\x01"
 class Encoder:
     """``encode(texts)`` gives all ids in one array, and how many each text has."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int | None = None):
+        self.pieces = PIECES if pieces is None else pieces
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.kind = _kind(json.load(f))
@@ -58,7 +59,7 @@ class Encoder:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             return np.fromiter((i for x in lists for i in x), self.dtype, int(counts.sum())), counts
-        if len(self.number) > PIECES:
+        if len(self.number) > self.pieces:
             self._reset()
         index: list[int] = []
         pieces_of = np.zeros(len(texts), np.int64)
@@ -171,12 +172,12 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int | None = None) -> Encoder:
     """The worker's encoder for a tokenizer file; its table serves all tasks of the worker."""
-    if path not in _HELD:
+    if (path, pieces) not in _HELD:
         _HELD.clear()
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+        _HELD[path, pieces] = Encoder(path, pieces)
+    return _HELD[path, pieces]
