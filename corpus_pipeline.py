@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=2, pieces=200_000)
 
 
 STAGES = [
