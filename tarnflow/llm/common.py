@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch handed to Python; texts can be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows per Arrow batch handed to Python, as texts can be long; and rows whose texts are worked on at once, so that
+#: the arrays made from them stay in a core's cache and a worker stays small.
+BATCH_ROWS, CUT_ROWS = 1000, 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,7 +75,7 @@ def texts(column: pa.Array, replace: str = "") -> list[str]:
     return [replace if x is None else x for x in column.to_pylist()]
 
 
-def cut(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterable[pa.RecordBatch], rows: int = CUT_ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
