@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -81,6 +82,13 @@ def cut(batches: Iterable[pa.RecordBatch], rows: int = CUT_ROWS) -> Iterator[pa.
             yield b.slice(i, rows)
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system, where its C library can; workers outlive tasks."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def crc_bucket(column, modulus: int):
     """``crc32(id as text) mod modulus``; null ids fall in bucket -1."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus, F.lit(-1))

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut as cut_batches
-from .common import small_batches, texts
-from .tokens import encoder
+from .common import small_batches, texts, trim
+from .tokens import encoder, release
 
 #: Ids that a task gathers before it packs them; what does not fill a sequence is carried on.
 WINDOW = 4 << 20
@@ -138,7 +138,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
     task's number shifted by 40 bits plus a count, so a task that is run again gives
     the same. Rows without an id and rows that repeat one are packed like others. An
     empty table gives no rows. Extra columns are not read. ``pieces`` bounds the
-    encoder's table, where other stages need a worker's memory too.
+    encoder's table and has it dropped after each task, where other stages need a
+    worker's memory too.
     """
     small_batches(docs.sparkSession)
 
@@ -161,6 +162,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
                 waiting = {key for group in packer.waiting.values() for key, _ in group}
                 held = {k: held[k] for k in waiting}
         yield from _pieces(packer.take(all_=True), held, base)
+        if pieces is not None:
+            del enc
+            release()
+            trim()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh, materialize, partitions, small_batches, texts
+from .common import cut, discard, fresh, materialize, partitions, small_batches, texts, trim
 from .components import components
 from .terms import U, Words, code_points, is_space, mix
 
@@ -163,7 +163,7 @@ def _walked(work: DataFrame, budget: int, limit: int, bits: int, whole: int | No
         path = path.view(np.uint64)
         order = np.lexsort((path, side, b, a, depth, tab))
         tab, depth, a, b, side, path, ids = (c[order] for c in (tab, depth, a, b, side, path, ids))
-        near = None
+        near = full = None
         if whole is not None:
             full = np.frombuffer(b"".join(t.column("full").to_pylist()), np.uint64).reshape(len(order), -1)
             near = lambda x, y: np.bitwise_count(full[order[x]] ^ full[order[y]]).sum(axis=1, dtype=np.int64) <= whole
@@ -177,6 +177,8 @@ def _walked(work: DataFrame, budget: int, limit: int, bits: int, whole: int | No
         link = np.flatnonzero(heads != np.arange(len(heads)))
         if len(link):
             yield pa.RecordBatch.from_arrays([pa.array(ids[link]), pa.array(ids[heads[link]])], names=["a", "b"])
+        rows = t = near = full = path = ids = heads = None
+        trim()
 
     return work.repartition(n, *KEY).mapInArrow(run, "a long, b long")
 
@@ -387,6 +389,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in cut(batches):
             fp = long_fingerprints(texts(b.column(1)), width)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "text_hash", "full"])
+        trim()
 
     made = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, "id long, text_hash long, full binary")
     fp = materialize(made.withColumn("fp", F.xxhash64("full")), "long")

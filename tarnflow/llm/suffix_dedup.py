@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, fresh, materialize, partitions, small_batches
+from .common import cut, discard, fresh, materialize, partitions, small_batches, trim
 from .terms import U, mix
 
 LENGTH, GRAM = 100, 32
@@ -187,6 +187,8 @@ def _settle_contexts(base: DataFrame, length: int, gram: int, hot: int) -> DataF
                 held, n = [], 0
         if held:
             yield from send(held, task)
+        del held
+        trim()
 
     def settle(t: pa.Table) -> pa.Table:
         parts = [_unpack(r["blob"], r["n"]) for r in t.select(["n", "blob"]).filter(pa.compute.equal(t["done"], 0)).to_pylist()]

@@ -181,3 +181,8 @@ def encoder(path: str, pieces: int | None = None) -> Encoder:
         _HELD.clear()
         _HELD[path, pieces] = Encoder(path, pieces)
     return _HELD[path, pieces]
+
+
+def release() -> None:
+    """Drop the worker's encoder, where its memory is needed by what runs next."""
+    _HELD.clear()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, cut, materialize, small_batches, texts
+from .common import crc_bucket, cut, materialize, small_batches, texts, trim
 from .terms import U, Words, code_points, is_letter, is_space, mix
 
 #: Bounds of the fit: rows of either kind, lexicon terms, voters.
@@ -301,5 +301,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
             yield b.filter(pa.array(model.score(texts(b.column(at))) < limit))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
