@@ -122,8 +122,9 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: i
     ``copies`` (0 to ``cap``) times ``size`` is ``taken``. Sizes are whole texts'
     words; null and empty texts have size 0 and are taken like the base copies of
     their source. Rows rank by a hash of id and length alone, so a rerun gives the
-    same; rows that repeat an id and a length count each, but are taken together. A source that is null is a source. An
-    empty table gives no rows. Extra columns are not read.
+    same; rows that repeat an id and a length count each, but are taken together. A
+    source that is null is a source. An empty table gives no rows. Extra columns are
+    not read.
 
     One row per source reaches the driver (the catalogue of sources); its counts by
     length are fitted by the executors, a source at a time.
