@@ -19,14 +19,16 @@ fingerprints are in one group already are not walked any further.
 
 ``simhash_groups`` links 64-bit fingerprints within a few bits. Texts of a set
 similarity of 0.8 differ in about 15 of 100 bits, too many for that, so
-``similar_groups`` takes fingerprints of 512 bits, joins short segments of them by
-the same walk with a small budget each, and lets the whole fingerprint decide.
+``similar_groups`` takes fingerprints of 512 bits and joins short segments of them by
+the same walk with a small budget each. What it finds are candidates: the sets of
+shingles decide.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -335,14 +337,14 @@ LONG, SEGMENTS = 512, 12
 SEGMENT, SEGMENT_MANY, MANY = (24, 2), (32, 3), 1 << 22
 
 
-def long_fingerprints(batch: list[str], width: int = 5) -> np.ndarray:
-    """(texts, 64) bytes: SimHash of 512 bits over the ``width``-word shingles, repeats included.
+def shingle_sets(batch: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct ``width``-word shingles of each text, in order of text and hash, and the texts' bounds in them.
 
-    Words and short texts are as in ``simhash_text``; without words all bits are 0.
+    Words and short texts are as in ``simhash_text``; a text without words has none.
     """
     n = len(batch)
     if not n:
-        return np.zeros((0, LONG // 8), np.uint8)
+        return np.zeros(0, U), np.zeros(1, np.int64)
     points, starts = code_points(batch)
     points = np.where((points >= 65) & (points <= 90), points + np.uint32(32), points)
     words = Words(points, starts, ~is_space(points))
@@ -357,7 +359,22 @@ def long_fingerprints(batch: list[str], width: int = 5) -> np.ndarray:
         there = left[begins] > i
         term = mix(term * U(31) + np.where(there, h[np.minimum(at, len(h) - 1)], U(0)) + U(i + 1))
     owner = doc[begins]
-    votes = np.bincount(owner, minlength=n)
+    order = np.lexsort((term, owner))
+    term, owner = term[order], owner[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
+    return term[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=n))])
+
+
+def long_fingerprints(batch: list[str], width: int = 5) -> np.ndarray:
+    """(texts, 64) bytes: SimHash of 512 bits over the distinct ``width``-word shingles; without words all bits are 0."""
+    return _long(*shingle_sets(batch, width))
+
+
+def _long(term: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    n = len(bounds) - 1
+    votes = np.diff(bounds)
+    owner = np.repeat(np.arange(n), votes)
     out = np.zeros((n, LONG), np.uint8)
     ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
     for word in range(LONG // 64):
@@ -375,25 +392,37 @@ def bits_apart(similarity: float, bits: int = LONG) -> int:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5, limit: int = NODE_LIMIT) -> DataFrame:
-    """One row per input row: ``(id, text_hash, component)``, texts of an estimated similarity of at least ``similarity`` linked.
+    """One row per input row: ``(id, text_hash, component)``, texts of a similarity of at least ``similarity`` linked.
 
-    The similarity of ``width``-word shingles is estimated by 512-bit fingerprints.
-    Pairs are found that differ in at most 2 of 24 (3 of 32) bits in one of 12
-    segments: 98 of 100 at a similarity of 0.8, all but one of 1000 at 0.85. Equal
-    fingerprints are one class. Null and empty texts are alike; other cases are as in
-    ``simhash_groups``.
+    The similarity is the Jaccard of the sets of ``width``-word shingles (of their
+    64-bit hashes), counted for every link. Candidates are pairs whose 512-bit
+    fingerprints differ in at most ``bits_apart(similarity)`` bits and, in one of 12
+    segments, in at most 2 of 24 (3 of 32) bits. Equal sets are one class. Null and
+    empty texts are alike; other cases are as in ``simhash_groups``.
     """
     small_batches(docs.sparkSession)
+    share = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
-            fp = long_fingerprints(texts(b.column(1)), width)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([x.tobytes() for x in fp], pa.binary())], names=["id", "text_hash", "full"])
+            term, bounds = shingle_sets(texts(b.column(1)), width)
+            full = _long(term, bounds)
+            fp = np.array([xxhash.xxh64_intdigest(term[x:y].tobytes()) for x, y in zip(bounds, bounds[1:])], np.uint64).view(np.int64)
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(term.view(np.int64)))
+            cols = [b.column(0).cast(pa.int64()), b.column(2), pa.array(fp), pa.array([x.tobytes() for x in full], pa.binary()), sets]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "fp", "full", "shingles"])
         trim()
 
-    made = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(run, "id long, text_hash long, full binary")
-    fp = materialize(made.withColumn("fp", F.xxhash64("full")), "long")
+    made = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col))
+    fp = materialize(made.mapInArrow(run, "id long, text_hash long, fp long, full binary, shingles array<long>"), "long")
     nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full")), "nodes")
+    sets = fp.select("fp", "shingles")
+    linked = components(_verified(_near_pairs(nodes, similarity, limit), sets, share))
+    return _named(fp.select("id", "text_hash", "fp"), nodes, linked).select("id", "text_hash", "component")
+
+
+def _near_pairs(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """Candidate links ``(a, b)`` between classes ``nodes(fp, full)`` whose fingerprints are near, a forest of them."""
     bits, budget = SEGMENT if nodes.count() <= MANY else SEGMENT_MANY
     parts = budget + 1
     each = bits // parts
@@ -416,9 +445,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "tab int, depth int, a long, b long, side int, path long, id long, full binary"
     work = materialize(nodes.select("fp", "full").mapInArrow(segments, schema), "work")
-    linked = components(_walked(work, budget, limit, bits, bits_apart(similarity)))
+    found = materialize(_walked(work, budget, limit, bits, bits_apart(similarity)), "near")
     discard(work)
-    return _named(fp, nodes, linked).select("id", "text_hash", "component")
+    return found
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingles, ``sets(fp, shingles)``, have a Jaccard of at least ``share``."""
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "ends")
+    need = materialize(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "need")
+    one, two = need.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), need.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    alike = both * share.denominator >= share.numerator * (F.size("x") + F.size("y") - both)
+    links = materialize(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b"), "links")
+    for done in (pairs, ends, need):
+        discard(done)
+    return links
 
 
 def _named(fp: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:

@@ -134,6 +134,20 @@ def test_long_fingerprints():
     assert np.bitwise_count(one ^ two).sum() > 150
 
 
+def jaccard(one, two, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (t.lower().split() for t in (one, two)))
+    return len(a & b) / len(a | b)
+
+
+def test_a_shared_line_makes_no_copies(spark):
+    line = prose(500, 15)
+    texts = [" ".join([line] * k + [prose(s + k, 64)]) for k in (10, 30) for s in (600, 700, 800)]
+    assert all(jaccard(a, b) < 0.5 for i, a in enumerate(texts) for b in texts[:i])
+    got = {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()}
+    assert got == {i: i for i in range(len(texts))}
+    assert sd.keep_first(frame(spark, texts)).count() == len(texts)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 3), (30, 31), (31, 30)] + [(100, x) for x in range(101, 160)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
