@@ -21,11 +21,14 @@ fingerprints are in one group already are not walked any further.
 similarity of 0.8 differ in about 15 of 100 bits, too many for that, so
 ``similar_groups`` takes fingerprints of 512 bits and joins short segments of them by
 the same walk with a small budget each. What it finds are candidates: the sets of
-shingles decide.
+shingles decide. Links that fingerprints miss are found by prefixes: of two sets of
+n and m shingles with a Jaccard of t or more, put in one order, the first
+n - ceil(tn) + 1 and m - ceil(tm) + 1 share a shingle (``_completed``).
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -33,7 +36,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, fresh, materialize, partitions, small_batches, texts, trim
@@ -335,6 +338,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 #: Bits of a long fingerprint, its segments, and the bits and budget of a segment in tables up to and beyond ``MANY`` texts.
 LONG, SEGMENTS = 512, 12
 SEGMENT, SEGMENT_MANY, MANY = (24, 2), (32, 3), 1 << 22
+#: Buckets in which shingles are counted, and pairs a row of shared shingles up to which all pairs are taken.
+BUCKETS, PAIRS = 1 << 18, 8
 
 
 def shingle_sets(batch: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -395,10 +400,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: ``(id, text_hash, component)``, texts of a similarity of at least ``similarity`` linked.
 
     The similarity is the Jaccard of the sets of ``width``-word shingles (of their
-    64-bit hashes), counted for every link. Candidates are pairs whose 512-bit
+    64-bit hashes), counted for every link. First candidates are pairs whose 512-bit
     fingerprints differ in at most ``bits_apart(similarity)`` bits and, in one of 12
-    segments, in at most 2 of 24 (3 of 32) bits. Equal sets are one class. Null and
-    empty texts are alike; other cases are as in ``simhash_groups``.
+    segments, in at most 2 of 24 (3 of 32) bits; they put most of a group together.
+    All pairs of different groups that share one of their rarest shingles follow, so
+    none is missed. Equal sets are one class. Null and empty texts are alike; other
+    cases are as in ``simhash_groups``.
     """
     small_batches(docs.sparkSession)
     share = Fraction(str(similarity))
@@ -417,8 +424,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fp = materialize(made.mapInArrow(run, "id long, text_hash long, fp long, full binary, shingles array<long>"), "long")
     nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full")), "nodes")
     sets = fp.select("fp", "shingles")
-    linked = components(_verified(_near_pairs(nodes, similarity, limit), sets, share))
-    return _named(fp.select("id", "text_hash", "fp"), nodes, linked).select("id", "text_hash", "component")
+    links = _verified(_near_pairs(nodes, similarity, limit), sets, share)
+    rare = _rare_shingles(sets, share)
+    linked = components(_completed(links, rare, sets, share))
+    rows = materialize(fp.select("id", "text_hash", "fp"), "rows")
+    discard(rare)
+    discard(fp)
+    return _named(rows, nodes, linked).select("id", "text_hash", "component")
 
 
 def _near_pairs(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
@@ -450,6 +462,90 @@ def _near_pairs(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
     return found
 
 
+def _rare_shingles(sets: DataFrame, share: Fraction) -> DataFrame:
+    """``(h, fp, n, at)``: shingles ``h`` that a Jaccard of ``share`` cannot do without, rarest first, where two classes have them.
+
+    A set's ``n`` shingles are in order of how full their bucket of ``BUCKETS`` is;
+    ``at`` is the place in that order. Any order of all shingles gives the same links.
+    """
+    slices = 64
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            full += np.bincount(_buckets(b.column(0).flatten().to_numpy()), minlength=BUCKETS)
+        if full.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(full, slices)], pa.binary())], names=["slice", "full"])
+
+    def total(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x, np.int64) for x in group.column("full").to_pylist())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "full": pa.array([sums.tobytes()], pa.binary())})
+
+    tallied = sets.select("shingles").mapInArrow(tally, "slice int, full binary")
+    found = sorted(tallied.groupBy("slice").applyInArrow(total, "slice int, full binary").collect())
+    if not found:
+        return sets.sparkSession.createDataFrame([], "h long, fp long, n int, at int")
+    fullness = np.concatenate([np.frombuffer(r["full"], np.int64) for r in found])
+    shared = sets.sparkSession.sparkContext.broadcast(fullness)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            h = b.column(1).flatten().to_numpy()
+            n = np.asarray(b.column(1).value_lengths()).astype(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            h = h[np.lexsort((h, shared.value[_buckets(h)], owner))]
+            at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = at <= (n + -n * share.numerator // share.denominator)[owner]
+            owner = owner[keep]
+            cols = [pa.array(h[keep]), pa.array(b.column(0).to_numpy()[owner]), pa.array(n[owner].astype(np.int32)), pa.array(at[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "fp", "n", "at"])
+
+    found = sets.select("fp", "shingles").mapInArrow(prefixes, "h long, fp long, n int, at int").repartition(partitions(sets.sparkSession), "h")
+    among = Window.partitionBy("h")
+    found = found.withColumn("lo", F.min("fp").over(among)).withColumn("hi", F.max("fp").over(among))
+    rare = materialize(found.filter("lo < hi").select("h", "fp", "n", "at").dropDuplicates(["h", "fp"]), "rare")
+    found = None
+    _release(rare)
+    return rare
+
+
+def _buckets(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) % U(BUCKETS)).astype(np.int64)
+
+
+def _completed(links: DataFrame, rare: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
+    """``links`` and what is missing of the links ``rare`` shows, so that all of them are joined.
+
+    While shingles are shared by many pairs of classes in different groups, each class
+    is held against one hub of each of its shingles, which puts a crowd into few groups
+    without all its pairs. Then all pairs of different groups that are left are taken.
+    """
+    size, turn, stuck = rare.count(), 0, False
+    while True:
+        groups = components(links)
+        label = F.coalesce("label", "fp").alias("label")
+        own = materialize(rare.join(groups, rare.fp == groups.node, "left").select("h", "fp", "n", "at", label), "own")
+        per = own.groupBy("h", "label").agg(F.count("*").cast("double").alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).head()[0] or 0
+        hubs = left > PAIRS * size and not stuck
+        one = own.select("h", *[F.col(c).alias(f"{c}1") for c in ("fp", "n", "at", "label")])
+        two = own.select("h", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "at", "label")])
+        if hubs:
+            first = F.struct(F.xxhash64("fp1", F.lit(turn)).alias("by"), "fp1", "n1", "at1", "label1")
+            one = one.groupBy("h").agg(F.min(first).alias("hub")).select("h", "hub.*").drop("by")
+        pairs = one.join(two, "h").filter("label1 <> label2" if hubs else "fp1 < fp2 and label1 <> label2")
+        p, q = share.numerator, share.denominator
+        room = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))  # none before the first shared one
+        pairs = pairs.filter((F.col("n1") * q >= F.col("n2") * p) & (F.col("n2") * q >= F.col("n1") * p) & (room * (p + q) >= (F.col("n1") + F.col("n2")) * p))
+        found = _verified(pairs.select(F.col("fp1").alias("a"), F.col("fp2").alias("b")), sets, share)
+        discard(own)
+        discard(groups)
+        links = materialize(links.unionByName(found), "links")
+        if not hubs:
+            return links
+        turn, stuck = turn + 1, found.limit(1).count() == 0
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingles, ``sets(fp, shingles)``, have a Jaccard of at least ``share``."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -461,9 +557,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     links = materialize(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b"), "links")
     for done in (pairs, ends, need):
         discard(done)
+    _release(links)
     return links
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of frames that are gone; it does so when the driver's JVM collects them."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _named(fp: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows of ``fp`` with the smallest id of their fingerprint's component."""
     classes = nodes.join(linked, nodes.fp == linked.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))

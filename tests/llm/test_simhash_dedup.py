@@ -148,6 +148,36 @@ def test_a_shared_line_makes_no_copies(spark):
     assert sd.keep_first(frame(spark, texts)).count() == len(texts)
 
 
+def edited(seed):
+    """Texts of 120 words, each with copies of which 1 to 5 words, at odd distances, are changed; and their groups by brute force."""
+    rng = random.Random(seed)
+    texts = []
+    for s in range(40):
+        words = prose(s + 900, 120).split()
+        texts.append(" ".join(words))
+        for k in range(1, 6):
+            w = list(words)
+            for i in rng.sample(range(120), k):
+                w[i] = f"edit{s}{k}{i}"
+            texts.append(" ".join(w))
+    head = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if i // 6 == j // 6 and head[i] != head[j] and jaccard(a, texts[j]) >= 0.8:
+                old, new = max(head[i], head[j]), min(head[i], head[j])
+                head = [new if h == old else h for h in head]
+    return texts, dict(enumerate(head))
+
+
+def test_links_are_those_of_brute_force(spark, monkeypatch):
+    texts, want = edited(5)
+    near = [jaccard(a, b) for g in range(0, len(texts), 6) for i, a in enumerate(texts[g : g + 6]) for b in texts[g : g + i]]
+    assert sum(0.75 <= x < 0.8 for x in near) > 20 and sum(0.8 <= x < 0.85 for x in near) > 20
+    assert {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()} == want
+    monkeypatch.setattr(sd, "PAIRS", 0)  # hubs first
+    assert {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()} == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 3), (30, 31), (31, 30)] + [(100, x) for x in range(101, 160)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
