@@ -178,6 +178,12 @@ def test_links_are_those_of_brute_force(spark, monkeypatch):
     assert {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()} == want
 
 
+def test_links_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
+    texts, want = edited(6)
+    monkeypatch.setattr(sd, "MANY", 0)
+    assert {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()} == want
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 3), (30, 31), (31, 30)] + [(100, x) for x in range(101, 160)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
