@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, discard, fresh, materialize, partitions, small_batches, texts, trim
 from .components import components
+from .suffix_dedup import _keyed
 from .terms import U, Words, code_points, is_space, mix
 
 BITS = 64
@@ -579,12 +580,13 @@ def _named(fp: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group of ``similar_groups``: that with the smallest id.
 
-    Columns are those of ``docs``. A document without an id or alone in its group stays;
-    of rows that repeat an id one stays.
+    Columns are those of ``docs``. A document alone in its group stays, whether its id
+    is repeated or null; of a group's rows without an id one stays beside that.
     """
-    groups = similar_groups(docs, id_col, text_col, similarity, width)
-    key, text = fresh(docs, "_kept_id", "_kept_text")
-    keep = groups.filter("id = component").select(F.col("id").alias(key), F.col("text_hash").alias(text)).distinct()
-    first = docs.join(keep, (docs[id_col] == F.col(key)) & (F.xxhash64(docs[text_col]) == F.col(text)), "left_semi")
-    one = first.dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    rid, key = fresh(docs, "_rid", "_kept")
+    keyed, base = _keyed(docs, id_col, text_col, rid)
+    groups = materialize(similar_groups(base, "doc", "text", similarity, width).select("id", "component"), "groups")
+    nameless = keyed.filter(F.col(id_col).isNull()).select(F.col(rid).alias("id"))
+    others = groups.join(nameless, "id", "left_semi").groupBy("component").agg(F.min("id").alias(key)).select(key)
+    keep = groups.filter("id = component").select(F.col("id").alias(key)).unionByName(others).distinct()
+    return keyed.join(keep, F.col(rid) == F.col(key), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -184,6 +184,13 @@ def test_links_do_not_depend_on_the_number_of_texts(spark, monkeypatch):
     assert {r.id: r.component for r in sd.similar_groups(frame(spark, texts)).collect()} == want
 
 
+def test_rows_of_one_id_or_none_are_rows_of_their_own(spark):
+    texts = [prose(1, 200), prose(2, 200), prose(3, 200), prose(3, 200) + " end", prose(4, 200)]
+    kept = sd.keep_first(frame(spark, texts, ids=[7, 7, None, None, 8])).select("doc_id", "text").collect()
+    assert sorted(r.text for r in kept if r.doc_id is not None) == sorted([texts[0], texts[1], texts[4]])
+    assert len([r for r in kept if r.doc_id is None]) == 1
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (7, 6), (6, 5), (20, 20), (None, 3), (30, 31), (31, 30)] + [(100, x) for x in range(101, 160)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
