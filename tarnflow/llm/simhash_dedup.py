@@ -36,6 +36,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -412,19 +413,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     share = Fraction(str(similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = TaskContext.get().partitionId() << 40
         for b in cut(batches):
             term, bounds = shingle_sets(texts(b.column(1)), width)
             full = _long(term, bounds)
             fp = np.array([xxhash.xxh64_intdigest(term[x:y].tobytes()) for x, y in zip(bounds, bounds[1:])], np.uint64).view(np.int64)
             sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(term.view(np.int64)))
-            cols = [b.column(0).cast(pa.int64()), b.column(2), pa.array(fp), pa.array([x.tobytes() for x in full], pa.binary()), sets]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "fp", "full", "shingles"])
+            cols = [b.column(0).cast(pa.int64()), b.column(2), pa.array(fp), pa.array([x.tobytes() for x in full], pa.binary()), sets, pa.array(np.arange(rows, rows + b.num_rows))]
+            rows += b.num_rows
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text_hash", "fp", "full", "shingles", "row"])
         trim()
 
     made = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col))
-    fp = materialize(made.mapInArrow(run, "id long, text_hash long, fp long, full binary, shingles array<long>"), "long")
-    nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full")), "nodes")
-    sets = fp.select("fp", "shingles")
+    fp = materialize(made.mapInArrow(run, "id long, text_hash long, fp long, full binary, shingles array<long>, row long"), "long")
+    nodes = materialize(fp.groupBy("fp").agg(F.min("id").alias("least"), F.first("full").alias("full"), F.count("*").alias("n"), F.min("row").alias("row")), "nodes")
+    again = materialize(fp.join(nodes.filter("n > 1").select("fp", F.col("row").alias("first")), "fp").filter("row <> first").select("row"), "again")
+    sets = fp.join(again, "row", "left_anti").select("fp", "shingles")
     links = _verified(_near_pairs(nodes, similarity, limit), sets, share)
     rare = _rare_shingles(sets, share)
     linked = components(_completed(links, rare, sets, share))
@@ -551,12 +555,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingles, ``sets(fp, shingles)``, have a Jaccard of at least ``share``."""
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "ends")
-    need = materialize(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "need")
+    need = sets.join(ends, "fp", "left_semi")
     one, two = need.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), need.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = both * share.denominator >= share.numerator * (F.size("x") + F.size("y") - both)
     links = materialize(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b"), "links")
-    for done in (pairs, ends, need):
+    for done in (pairs, ends):
         discard(done)
     _release(links)
     return links
