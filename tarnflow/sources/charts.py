@@ -1,4 +1,4 @@
-"""Charts as one HTML file without outside scripts: rows are aggregated in Spark, at most ``max_points`` reach the page."""
+"""Charts as one HTML file without outside scripts: figures are aggregated in Spark, at most ``max_points`` rows are drawn, and the page says so."""
 
 from __future__ import annotations
 
@@ -70,9 +70,11 @@ def interactive_chart(df: DataFrame, path: str, config: ChartConfig | None = Non
     ys = [y for y in (config.y_fields or numeric) if y != x and y in df.columns]
     cols = ([F.col(f"`{x}`").cast("string")] if x else [F.lit("")]) + [F.col(f"`{y}`").try_cast("double") for y in ys]
     ordered = df.orderBy(*order) if order else df
-    rows = ordered.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).limit(config.max_points).collect()
+    rows = ordered.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).limit(config.max_points + 1).collect()
     if not rows:
         raise ValueError("there are no rows to draw")
+    cut = len(rows) > config.max_points
+    rows = rows[: config.max_points]
     esc = html.escape
     data = {
         "labels": [esc(r[0] or "") for r in rows], "series": [{"name": esc(y), "values": [r[i + 1] for r in rows]} for i, y in enumerate(ys)],
@@ -83,6 +85,8 @@ def interactive_chart(df: DataFrame, path: str, config: ChartConfig | None = Non
     for f in fields:
         if f.kind == "numeric":
             stats += f"<tr><td>{esc(f.name)}</td><td>{f.count}</td>" + "".join(f"<td>{v:.6g}</td>" for v in (f.min, f.max, f.mean, f.stddev)) + "</tr>"
+    if cut:
+        stats += f"<caption>Drawn: the first {config.max_points} rows only; the figures count all rows.</caption>"
     dark = config.theme == "dark"
     page = _PAGE.format(
         title=esc(config.title), width=config.width, height=config.height, stats=stats, data=json.dumps(data).replace("</", "<\\/"),

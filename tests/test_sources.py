@@ -94,3 +94,14 @@ def test_table_profile_and_charts(spark, tmp_path):
     assert "&lt;/script&gt;" in (tmp_path / "t.html").read_text()
     with pytest.raises(ValueError):
         charts.interactive_chart(df.limit(0), str(tmp_path / "x.html"))
+
+
+def test_a_chart_says_what_it_leaves_out(spark, tmp_path):
+    from tarnflow.sources.charts import ChartConfig, interactive_chart
+
+    df = spark.range(20).selectExpr("cast(id as string) as x", "id as y")
+    for most, noted in ((20, False), (19, True)):
+        path = str(tmp_path / f"{most}.html")
+        interactive_chart(df, path, ChartConfig(max_points=most, x_field="x", y_fields=["y"]))
+        with open(path, encoding="utf-8") as page:
+            assert ("rows only" in page.read()) == noted
