@@ -87,3 +87,18 @@ def test_recall_on_the_test_table(spark):
     links = (x @ x.T >= 0.9).sum() - len(x)
     got = ed.near_vectors(df).groupBy().sum("n_links").head()[0]
     assert got >= 0.9 * links and got <= links
+
+
+def test_recall_of_planted_links_among_many_lists(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(500, 64))
+    side -= (side * x[:500]).sum(axis=1, keepdims=True) * x[:500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.905, 0.95, (500, 1))
+    y = np.concatenate([x, cos * x[:500] + np.sqrt(1 - cos**2) * side])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
+    got = ed.near_vectors(df, threshold=0.9).groupBy().sum("n_links").head()[0]
+    print("recall", got / 1000)
+    assert 900 <= got <= 1000
