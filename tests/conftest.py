@@ -20,8 +20,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def rows(df, *names):
-    """Rows as sorted tuples."""
-    return sorted((tuple(r) for r in df.select(*[f"`{n}`" for n in (names or df.columns)]).collect()), key=repr)

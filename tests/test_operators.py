@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from engine_helpers import rows
 from tarnflow.operators import composing, grouping, joining, prefixes, running, windowing
 from tarnflow.operators import rows as R
 from tarnflow.operators.ordering import OrderRequired, carried, numbered

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from engine_helpers import rows
 from tarnflow.operators.profiling import profile
 from tarnflow.sources import charts, readers, writers
 

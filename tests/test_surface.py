@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from engine_helpers import rows
 from tarnflow import streaming
 from tarnflow.operators import grouping
 from tarnflow.operators.ordering import OrderRequired
