@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,9 +123,20 @@ def json_valid(col: Column) -> Column:
 
 
 def json_pretty(col: Column) -> Column:
-    """JSON text indented again; text that is no JSON as it is."""
-    inner = F.schema_of_variant(F.try_parse_json(col))
-    return F.when(inner.isNotNull(), F.to_json(F.try_parse_json(col), {"pretty": "true"})).otherwise(col)
+    """JSON text indented by two spaces; text that is no JSON as it is. No column function indents a value of any type."""
+
+    @F.pandas_udf("string")
+    def indented(texts: pd.Series) -> pd.Series:
+        return texts.map(_indent, na_action="ignore")
+
+    return indented(col)
+
+
+def _indent(text: str) -> str:
+    try:
+        return json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    except ValueError:
+        return text
 
 
 #: What a canonical record may hold.

@@ -7,13 +7,20 @@ An operator is a function from frame to frame. An error frame has a text column
 from __future__ import annotations
 
 import functools
+import itertools
 import queue
 import threading
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_path
+
+#: Rows of a driver's iterator that are written at a time.
+SPOOLED = 10_000
+
 Operator = Callable[[DataFrame], DataFrame]
 ERROR = "_error"
 
@@ -93,31 +100,59 @@ def to_channel_with_errors(df: DataFrame) -> tuple[Iterator[Row], list[str]]:
 
 
 def from_channel(spark: SparkSession, items: queue.Queue, errors: queue.Queue | None, schema: str, done: object = None) -> DataFrame:
-    """An error frame from what queues hold until ``done`` arrives in ``items``."""
-    rows: list[tuple] = []
-    while (x := items.get()) is not done:
-        rows.append((*x, None))
-    names = spark.createDataFrame([], schema).columns
-    while errors is not None and not errors.empty():
-        rows.append((*[None] * len(names), str(errors.get())))
-    return spark.createDataFrame(rows, f"{schema}, {ERROR} string")
-
-
-def timeout(df: DataFrame, seconds: float) -> list[Row]:
-    """Rows that arrive within a wall-clock time, a partition at a time; what runs longer is cancelled."""
+    """An error frame from what queues hold until ``done`` arrives in ``items``.
+
+    Rows are written to the shared folder some thousands at a time, so that a queue
+    may bring more than the driver holds.
+    """
+    path, full = new_path(spark, "channel"), f"{schema}, {ERROR} string"
+    width = len(spark.createDataFrame([], schema).columns)
+
+    def arriving() -> Iterator[tuple]:
+        while (x := items.get()) is not done:
+            yield (*x, None)
+        while errors is not None and not errors.empty():
+            yield (*[None] * width, str(errors.get()))
+
+    return _spooled(spark, arriving(), full, path)
+
+
+def _spooled(spark: SparkSession, rows: Iterator, schema, path: str) -> DataFrame:
+    """Rows of an iterator as a frame over files, written ``SPOOLED`` at a time."""
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    while some := list(itertools.islice(rows, SPOOLED)):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(spark.createDataFrame([], schema).schema).parquet(path)
+
+
+def timeout(df: DataFrame, seconds: float) -> DataFrame:
+    """Rows that arrive within a wall-clock time, a partition at a time; what runs longer is cancelled.
+
+    What has arrived lies in the shared folder, and is the frame that is returned.
+    """
     spark = df.sparkSession
-    tag = f"tarnflow-timeout-{id(df)}"
-    out: list[Row] = []
+    tag = f"tarnflow-timeout-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        over.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+
+    def arriving() -> Iterator[Row]:
+        try:
+            for r in df.toLocalIterator():
+                if over.is_set():
+                    return
+                yield r
+        except Exception:
+            if not over.is_set():
+                raise
+        finally:
+            timer.cancel()
+            spark.removeTag(tag)  # what has arrived is still written
+
     spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
     timer.start()
-    try:
-        for r in df.toLocalIterator():
-            out.append(r)
-    except Exception:
-        if timer.is_alive():
-            raise
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
-    return out
+    return _spooled(spark, arriving(), df.schema, new_path(spark, "timeout"))

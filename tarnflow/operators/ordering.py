@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-#: Rows drawn to place the bounds, and ranges per shuffle partition at most.
-DRAWN, RANGES = 4000, 256
+#: Ranges for each shuffle partition, and rows drawn for each range to place the bounds.
+RANGES, DRAWN = 2, 100
 
 
 class OrderRequired(ValueError):
@@ -75,22 +75,32 @@ def running(order, partition_by: Sequence[str] = ()) -> WindowSpec:
 def ranged(df: DataFrame, order, name: str = "_range") -> DataFrame:
     """``df`` with the number of its range: rows of an earlier range come before those of a later one.
 
-    Bounds are drawn from a sample of the leading column; rows alike in it share a range.
+    Bounds are drawn from a sample of the order columns as far as all go one way, so
+    rows alike in the first are still parted by the others. There are as many ranges
+    as ``RANGES`` times the shuffle partitions, which a caller sets by the table.
     """
-    first = needed(order)[0]
-    c = F.col(f"`{first.name}`")
-    spark = df.sparkSession
-    n = min(RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    drawn = df.select(c.alias("k")).filter("k is not null")
+    by = needed(order)
+    by = [k for i, k in enumerate(by) if all(x.desc == by[0].desc for x in by[: i + 1])]
+    n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.struct(*[F.col(f"`{k.name}`").alias(f"k{i}") for i, k in enumerate(by)])
+    drawn = df.select(at.alias("k"))
     total = drawn.count()
-    if total > DRAWN:
-        drawn = drawn.sample(False, DRAWN / total, seed=1)
-    values = sorted(r.k for r in drawn.limit(2 * DRAWN).collect())
-    bounds = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
-    lits = F.array(*[F.lit(b) for b in bounds]) if bounds else None
-    at = F.size(F.filter(lits, lambda b: b <= c)) if bounds else F.lit(0)
-    at = F.when(c.isNull(), -1).otherwise(at)
-    return df.withColumn(name, (-at if first.desc else at).cast("int"))
+    if total > DRAWN * n:
+        drawn = drawn.sample(False, DRAWN * n / total, seed=1)
+    drawn = drawn.select("k", F.ntile(n).over(Window.orderBy("k")).alias("t")).groupBy("t").agg(F.min("k").alias("k"))  # a sample of bounded size
+    bounds = [r.k for r in drawn.orderBy("t").collect()]
+    bounds = [b for i, b in enumerate(bounds) if i and b != bounds[i - 1]]
+    kind = df.select(at.alias("k")).schema["k"].dataType
+    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(b, kind.fields, strict=True)]) for b in bounds]
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(at < lits[mid], search(low, mid)).otherwise(search(mid + 1, high))
+
+    found = search(0, len(lits))
+    return df.withColumn(name, (-found if by[0].desc else found).cast("int"))
 
 
 def numbered(df: DataFrame, order, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

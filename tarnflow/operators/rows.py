@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,7 +148,7 @@ def match(df: DataFrame, name: str, op: str, literal) -> Column:
     if op in ("contains", "startswith", "endswith"):
         return {"contains": c.contains, "startswith": c.startswith, "endswith": c.endswith}[op](str(literal)) if isinstance(kind, T.StringType) else F.lit(False)
     if op in ("pattern", "regexp", "regex"):
-        return c.cast("string").rlike(str(literal))
+        return c.cast("string").rlike(str(literal)) if _is_pattern(df, str(literal)) else F.lit(False)
     lit = guess_literal(literal) if isinstance(literal, str) and not isinstance(kind, T.StringType) else literal
     if isinstance(kind, T.NumericType):
         comparable = isinstance(lit, (int, float)) and not isinstance(lit, bool)
@@ -162,6 +164,15 @@ def match(df: DataFrame, name: str, op: str, literal) -> Column:
     return {"eq": c == v, "ne": c != v, "gt": c > v, "lt": c < v, "ge": c >= v, "le": c <= v}[op]
 
 
+def _is_pattern(df: DataFrame, text: str) -> bool:
+    """Whether the engine's own regular expressions take ``text``; one they do not take matches nothing."""
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(text)
+    except (IllegalArgumentException, Py4JJavaError):
+        return False
+    return True
+
+
 MATCHES = ("eq", "ne", "gt", "lt", "ge", "le", "contains", "startswith", "endswith", "pattern", "regexp", "regex")
 
 

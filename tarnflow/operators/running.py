@@ -6,14 +6,14 @@ Missing or unparseable numbers count as 0, as the fixed output names suggest; wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.access import get
 from .ordering import carried, keys, needed, numbered, ranged, sort_columns, window
@@ -67,73 +67,55 @@ def running_count(df: DataFrame, field: str, order, partition_by: Sequence[str]
     """
     needed(order)
     v = F.coalesce(get(df, field, str), F.lit("<nil>"))
-    if partition_by and with_map:
-        added = [T.StructField("total_count", T.LongType()), T.StructField("distinct_values", T.LongType()), T.StructField("distinct_counts", T.MapType(T.StringType(), T.LongType()))]
-        return _scan(df.withColumn("_v", v), order, partition_by, added, dict, _tally)
     out = numbered(df.withColumn("_v", v), order, "total_count", partition_by)
     lead = keys(order)
     mine = Window.partitionBy(*partition_by, "_v").orderBy(*sort_columns(order))
     out = out.withColumn("_nth", F.row_number().over(mine).cast("long"))
     out = carried(out, lead, {"distinct_values": ("sum", F.when(F.col("_nth") == 1, 1).otherwise(0).cast("long"))}, partition_by)
     if with_map:
-        out = _global_map(out, lead)
+        out = _maps(out, partition_by)
     return out.drop("_v", "_nth")
 
 
-def _tally(counts: dict, v: str) -> tuple:
-    counts[v] = counts.get(v, 0) + 1
-    return sum(counts.values()), len(counts), dict(counts)
+#: Neighbouring rows of a key whose maps are made together, from one map of what lies before them.
+STRETCH = 256
 
 
-def _scan(df: DataFrame, order, partition_by: Sequence[str], added: list[T.StructField], start: Callable, step: Callable) -> DataFrame:
-    """Rows of each key in order, a step each from its ``_v``; the state of one key at a time, whatever its length."""
-    by = [F.col(f"`{p}`") for p in partition_by]
-    dealt = df.repartition(*by).sortWithinPartitions(*by, *sort_columns(order))
-    schema = T.StructType([f for f in df.schema.fields if f.name != "_v"] + added)
-    kinds = [to_arrow_type(f.dataType) for f in added]
-    at = [df.columns.index(p) for p in partition_by]
-    value = df.columns.index("_v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for b in batches:
-            out = []
-            for key, v in zip(zip(*(b.column(i).to_pylist() for i in at), strict=True), b.column(value).to_pylist(), strict=True):
-                if key != last:
-                    last, state = key, start()
-                out.append(step(state, v))
-            if not out:
-                continue
-            made = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            rest = [b.column(i) for i in range(b.num_columns) if i != value]
-            yield pa.RecordBatch.from_arrays(rest + made, names=schema.names)
+def _maps(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Adds ``distinct_counts``: what earlier stretches of rows counted, and what the row's own stretch has so far.
 
-    return dealt.mapInArrow(run, schema)
-
-
-def _global_map(df: DataFrame, order) -> DataFrame:
-    """The running map over a whole table: each range adds to what earlier ranges counted."""
-    r = ranged(df, order)
-    counts = r.groupBy("_range", "_v").agg(F.count("*").alias("_c"))
-    totals: dict[str, int] = {}
-    before: dict[int, dict[str, int]] = {}
-    rows = counts.groupBy("_range").agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("m")).orderBy("_range")
-    for x in rows.toLocalIterator():  # a row per range
-        before[x["_range"]] = dict(totals)
-        for k, c in x.m.items():
-            totals[k] = totals.get(k, 0) + c
-    schema = T.StructType([*df.schema.fields, T.StructField("distinct_counts", T.MapType(T.StringType(), T.LongType()))])
-
-    def scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("total_count")
-        now = dict(before.get(int(key[0]), {}))
-        out = []
-        for v in pdf["_v"]:
-            now[v] = now.get(v, 0) + 1
-            out.append(dict(now))
-        return pdf.assign(distinct_counts=out).drop(columns=["_range"])
-
-    return r.groupBy("_range").applyInPandas(scan, schema)
+    Counts by stretch and value are summed along the stretches in one window by
+    value. A stretch gets the last sum of each value before it and is one group of at
+    most ``STRETCH`` rows.
+    """
+    by = [F.col(f"`{p}`") for p in partition_by]
+    rows = df.withColumn("_stretch", F.floor((F.col("total_count") - 1) / STRETCH))
+    # a value's count before a stretch changes only after a stretch that holds it
+    sums = rows.groupBy(*by, "_stretch", "_v").agg(F.max("_nth").alias("_c"))
+    values = Window.partitionBy(*by, "_v").orderBy("_stretch")
+    sums = sums.withColumn("_until", F.lead("_stretch").over(values))
+    names = {p: f"_k{i}" for i, p in enumerate(partition_by)}
+    same = F.lit(True)
+    for p, n in names.items():
+        same = same & F.col(f"`{p}`").eqNullSafe(F.col(n))
+    if names:
+        last = rows.groupBy(*by).agg(F.max("_stretch").alias("_last")).select(*[F.col(f"`{p}`").alias(n) for p, n in names.items()], "_last")
+        sums = sums.join(last, same).drop(*names.values())
+    else:
+        sums = sums.withColumn("_last", F.lit(rows.agg(F.max("_stretch")).head()[0]))
+    upto = F.coalesce(F.col("_until"), F.col("_last"))
+    spread = sums.filter(F.col("_stretch") < upto).select(*by, F.explode(F.sequence(F.col("_stretch") + 1, upto)).alias("_stretch"), "_v", "_c")
+    before = spread.groupBy(*by, "_stretch").agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("_before"))
+    before = before.select(*[F.col(f"`{p}`").alias(n) for p, n in names.items()], F.col("_stretch").alias("_s"), "_before")
+    joined = rows.join(before, same & (F.col("_stretch") == F.col("_s")), "left").drop(*names.values(), "_s")
+    so_far = Window.partitionBy(*by, "_stretch").orderBy("total_count").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = joined.withColumn("_own", F.collect_list(F.struct("_v", "_nth")).over(so_far))
+    # the last number of each value in the stretch so far is its count
+    own = F.aggregate("_own", F.create_map().cast("map<string,bigint>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["_v"]), F.create_map(x["_v"], x["_nth"])))
+    past = F.coalesce(F.col("_before"), F.create_map().cast("map<string,bigint>"))
+    joined = joined.withColumn("_now", own)
+    merged = F.map_concat(F.map_filter(past, lambda k, _: ~F.array_contains(F.map_keys("_now"), k)), F.col("_now"))
+    return joined.withColumn("distinct_counts", merged).drop("_stretch", "_before", "_own", "_now")
 
 
 def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -148,13 +130,7 @@ def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, p
     fields = [f for f in base.schema.fields if f.name != "_v"]
     added = [T.StructField("ema", T.DoubleType()), T.StructField("alpha", T.DoubleType())]
     if partition_by:
-
-        def step(state: list, v: float) -> tuple:
-            now = alpha * v + (1 - alpha) * state[0] if state else v
-            state[:] = [now]
-            return now, alpha
-
-        return _scan(base, order, partition_by, added, list, step)
+        return _ema_by_key(base, alpha, order, partition_by, T.StructType([*fields, *added]))
     n = numbered(base, order, "_n")
     r = ranged(n, order)
     # a range's own part: sum of weight * (1 - alpha) ** (rows after it in the range)
@@ -179,3 +155,39 @@ def _ema(values, alpha: float, now: float | None) -> Iterator[float]:
     for v in values:
         now = v if now is None else alpha * v + (1 - alpha) * now
         yield now
+
+
+def _ema_by_key(df: DataFrame, alpha: float, order, partition_by: Sequence[str], schema: T.StructType) -> DataFrame:
+    """Keys stream one after the other, rows in order; what is held is the last average of the key at hand."""
+    by = [F.col(f"`{p}`") for p in partition_by]
+    dealt = df.repartition(*by).sortWithinPartitions(*by, *sort_columns(order))
+    at, value = [df.columns.index(p) for p in partition_by], df.columns.index("_v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now = None, None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            ends = _turns([b.column(i) for i in at])
+            v, out = b.column(value).to_numpy(zero_copy_only=False), np.empty(n)
+            for lo, hi in zip([0, *ends], [*ends, n], strict=True):
+                key = [b.column(i)[lo].as_py() for i in at]
+                if key != last:
+                    last, now = key, None
+                out[lo:hi] = list(_ema(v[lo:hi].tolist(), alpha, now))
+                now = float(out[hi - 1])
+            rest = [b.column(i) for i in range(b.num_columns) if i != value]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(out), pa.array(np.full(n, alpha))], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _turns(columns: list[pa.Array]) -> list[int]:
+    """Rows that differ in some column from the row before them."""
+    n = len(columns[0])
+    turn = np.zeros(max(0, n - 1), bool)
+    for c in columns:
+        codes = c.dictionary_encode("encode").indices.to_numpy()
+        turn |= codes[1:] != codes[:-1]
+    return (np.flatnonzero(turn) + 1).tolist()

@@ -189,7 +189,7 @@ def _verb(spark, flow: Flow, name: str, a: Args) -> Flow:
 
 def _sink(flow: Flow, name: str, a: Args) -> None:
     if name == "table":
-        print(flow.table(int(a.one("-max-width", "-w", default="50"))))
+        writers.display_table(flow.frame, int(a.one("-max-width", "-w", default="50")))
     elif name == "chart":
         charts.quick_chart(flow.frame, a.one("-x"), a.one("-y"), a.one("-output", "-o", default="chart.html"))
     elif name == "write-parquet":

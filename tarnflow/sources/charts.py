@@ -1,4 +1,4 @@
-"""Charts as one HTML file without outside scripts: figures are aggregated in Spark, at most ``max_points`` rows are drawn, and the page says so."""
+"""Charts as one HTML file without outside scripts. Figures are aggregated in Spark; of more than ``max_points`` rows, neighbours are averaged, and the page says so."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.access import as_time
+from ..operators.ordering import numbered
 from ..operators.profiling import profile
 
 
@@ -68,13 +69,10 @@ def interactive_chart(df: DataFrame, path: str, config: ChartConfig | None = Non
     numeric = [f.name for f in fields if f.kind == "numeric"]
     x = config.x_field or next((f.name for f in fields if f.kind != "numeric"), None)
     ys = [y for y in (config.y_fields or numeric) if y != x and y in df.columns]
-    cols = ([F.col(f"`{x}`").cast("string")] if x else [F.lit("")]) + [F.col(f"`{y}`").try_cast("double") for y in ys]
-    ordered = df.orderBy(*order) if order else df
-    rows = ordered.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).limit(config.max_points + 1).collect()
-    if not rows:
+    total = df.count()
+    if not total:
         raise ValueError("there are no rows to draw")
-    cut = len(rows) > config.max_points
-    rows = rows[: config.max_points]
+    rows = points(df, x, ys, order, config.max_points, total).orderBy("point").drop("point").collect()  # max_points at most
     esc = html.escape
     data = {
         "labels": [esc(r[0] or "") for r in rows], "series": [{"name": esc(y), "values": [r[i + 1] for r in rows]} for i, y in enumerate(ys)],
@@ -85,8 +83,8 @@ def interactive_chart(df: DataFrame, path: str, config: ChartConfig | None = Non
     for f in fields:
         if f.kind == "numeric":
             stats += f"<tr><td>{esc(f.name)}</td><td>{f.count}</td>" + "".join(f"<td>{v:.6g}</td>" for v in (f.min, f.max, f.mean, f.stddev)) + "</tr>"
-    if cut:
-        stats += f"<caption>Drawn: the first {config.max_points} rows only; the figures count all rows.</caption>"
+    if total > config.max_points:
+        stats += f"<caption>{total} rows, drawn as {len(rows)} points: each is the mean of neighbouring rows.</caption>"
     dark = config.theme == "dark"
     page = _PAGE.format(
         title=esc(config.title), width=config.width, height=config.height, stats=stats, data=json.dumps(data).replace("</", "<\\/"),
@@ -96,6 +94,26 @@ def interactive_chart(df: DataFrame, path: str, config: ChartConfig | None = Non
         out.write(page)
 
 
+def points(df: DataFrame, x: str | None, ys: Sequence[str], order: Sequence[str] = (), most: int = 5000, total: int | None = None) -> DataFrame:
+    """``(point, x, y0, y1, ...)`` for all rows, at most ``most`` of them: runs of neighbours share one, with their first ``x`` and mean values.
+
+    Neighbours along ``order``, else along ``x``; without either rows are as they come.
+    """
+    total = df.count() if total is None else total
+    label = F.col(f"`{x}`").cast("string") if x else F.lit("")
+    made = df.select(label.alias("x"), *[F.col(f"`{y}`").try_cast("double").alias(f"y{i}") for i, y in enumerate(ys)], *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order or ([x] if x else []))])
+    keys = [c for c in made.columns if c.startswith("o")]
+    at = F.monotonically_increasing_id()
+    if total <= most:
+        numbered_ = made.select("*", at.alias("n")) if not order else numbered(made, keys, "n")
+        return numbered_.select(F.col("n").alias("point"), "x", *[f"y{i}" for i in range(len(ys))])
+    if not keys:
+        made, keys = made.withColumn("o0", at), ["o0"]
+    n = numbered(made, keys, "n")
+    point = F.floor((F.col("n") - 1) * most / F.lit(total)).cast("long")
+    return n.groupBy(point.alias("point")).agg(F.min_by("x", "n").alias("x"), *[F.avg(f"y{i}").alias(f"y{i}") for i in range(len(ys))])
+
+
 def quick_chart(df: DataFrame, x: str, y: str, path: str) -> None:
     interactive_chart(df.select(x, y), path, ChartConfig(title=f"{y} vs {x}", x_field=x, y_fields=[y]))
 

@@ -14,7 +14,7 @@ import subprocess
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +41,16 @@ class CommandConfig:
 def _in_order(df: DataFrame, name: str, start: int) -> DataFrame:
     """Adds the place of each row in its file, counted from ``start``: an order of parts, then one within each.
 
-    Parts are numbered in file order by ``monotonically_increasing_id``; only one
-    count per part is brought together.
+    Parts are numbered in file order by ``monotonically_increasing_id``; what lies
+    before a part is a running sum over one row per part, joined to its rows.
     """
     ids = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
-    sizes = {r["_part"]: r.n for r in ids.groupBy("_part").agg((F.max(F.col("_id").bitwiseAND((1 << 33) - 1)) + 1).alias("n")).collect()}
-    before, at = {}, start
-    for p in sorted(sizes):
-        before[p] = at
-        at += sizes[p]
-    if len(before) <= 1:
-        return ids.withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + start).drop("_id", "_part")
-    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    return ids.withColumn(name, F.col("_id").bitwiseAND((1 << 33) - 1) + offsets[F.col("_part")]).drop("_id", "_part")
+    within = F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = ids.groupBy(F.col("_part").alias("_of")).agg((F.max(within) + 1).alias("_n"))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ids.join(sizes, ids["_part"] == sizes["_of"])
+    return placed.withColumn(name, (within + F.col("_before") + start).cast("long")).drop("_id", "_part", "_of", "_before", "_n")
 
 
 # delimited text

@@ -66,14 +66,24 @@ def json_lines(df: DataFrame, json_fields: Sequence[str] = ()) -> Iterator[str]:
         yield r.j
 
 
+def json_pretty_lines(df: DataFrame, json_fields: Sequence[str] = ()) -> Iterator[str]:
+    """The lines of one indented array, a row at a time."""
+    held = None
+    yield "["
+    for line in json_lines(df, json_fields):
+        if held is not None:
+            yield held + ","
+        *rest, held = ["  " + x for x in json.dumps(json.loads(line), indent=2, ensure_ascii=False).splitlines()]
+        yield from rest
+    if held is not None:
+        yield held
+    yield "]"
+
+
 def write_json_pretty(df: DataFrame, path: str, json_fields: Sequence[str] = ()) -> None:
     """One indented array in a local file, row by row."""
     with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for i, line in enumerate(json_lines(df, json_fields)):
-            text = json.dumps(json.loads(line), indent=2, ensure_ascii=False)
-            f.write(("," if i else "") + "\n" + "\n".join("  " + x for x in text.splitlines()))
-        f.write("\n]\n")
+        f.writelines(x + "\n" for x in json_pretty_lines(df, json_fields))
 
 
 def write_lines(df: DataFrame, path: str, field: str = "line", one_file: bool = False, mode: str = "overwrite") -> None:
@@ -88,16 +98,33 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def format_table(df: DataFrame, max_width: int = 50, rows: int = 1000) -> str:
-    """The first rows as an aligned text table: fields sorted, cells cut with ``...`` at ``max_width``."""
-    names = sorted(c for c in df.columns if not c.startswith("_"))
-    got = df.select(*[F.col(f"`{n}`") for n in names]).limit(rows).collect()
-    cells = [names] + [["" if v is None else str(v) for v in r] for r in got]
-    cells = [[c if len(c) <= max_width else c[: max(0, max_width - 3)] + "..." for c in r] for r in cells]
-    wide = [max(len(r[i]) for r in cells) for i in range(len(names))]
-    lines = ["   ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells]
-    return "\n".join([lines[0], "-" * max(1, len(lines[0])), *lines[1:]])
+def table_lines(df: DataFrame, max_width: int = 50) -> Iterator[str]:
+    """All rows as lines of an aligned text table: fields sorted, cells cut with ``...`` at ``max_width``.
 
-
-def display_table(df: DataFrame, max_width: int = 50, rows: int = 1000) -> None:
-    print(format_table(df, max_width, rows))
+    Widths are an aggregate; rows come a partition at a time.
+    """
+    names = sorted(c for c in df.columns if not c.startswith("_"))
+    if not names:
+        return
+    kinds = {n: df.schema[n].dataType for n in names}
+    text = [F.coalesce(F.to_json(F.col(f"`{n}`")) if isinstance(kinds[n], _NESTED) else F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+    cells = [F.when(F.length(c) <= max_width, c).otherwise(F.concat(F.substring(c, 1, max(0, max_width - 3)), F.lit("..."))) for c in text]
+    made = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    head = [n if len(n) <= max_width else n[: max(0, max_width - 3)] + "..." for n in names]
+    widest = made.agg(*[F.max(F.length(f"c{i}")) for i in range(len(names))]).head()
+    wide = [max(len(h), w or 0) for h, w in zip(head, widest, strict=True)]
+    first = "   ".join(c.ljust(w) for c, w in zip(head, wide, strict=True)).rstrip()
+    yield first
+    yield "-" * max(1, len(first))
+    for r in made.toLocalIterator(prefetchPartitions=True):
+        yield "   ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip()
+
+
+def format_table(df: DataFrame, max_width: int = 50) -> str:
+    """The table as one text, for frames that fit the driver."""
+    return "\n".join(table_lines(df, max_width))
+
+
+def display_table(df: DataFrame, max_width: int = 50) -> None:
+    for line in table_lines(df, max_width):
+        print(line)

@@ -103,6 +103,12 @@ def tee(df: DataFrame, sinks: Sequence[Callable[[DataFrame, int], None]], checkp
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_files(df: DataFrame, path: str, checkpoint: str, form: str = "parquet") -> None:
+    """All that is available into files; a folder for the state of what is written lies beside."""
+    q = df.writeStream.format(form).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def run_to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float | None = None) -> StreamingQuery:
     """All that is available into an in-memory table; after ``seconds`` the query is stopped."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

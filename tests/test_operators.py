@@ -16,15 +16,16 @@ def ints(spark, values):
 
 
 def test_prefixes(spark):
-    df = ints(spark, [1, 2, 3, 4, 5, 1, 2])
-    assert [r.x for r in prefixes.skip_while(df, "x < 3", "i").orderBy("i").collect()] == [3, 4, 5, 1, 2]
-    assert [r.x for r in prefixes.take_while(df, "x < 3", "i").orderBy("i").collect()] == [1, 2]
-    assert [r.x for r in prefixes.take_until(df, "x == 4", "i").orderBy("i").collect()] == [1, 2, 3]
-    assert [r.x for r in prefixes.skip_until(df, "x == 5", "i").orderBy("i").collect()] == [5, 1, 2]
-    assert prefixes.take_while(df, "x < 9", "i").count() == 7
+    df = ints(spark, [11, 14, 20, 17, 26, 12, 30])
+    along = lambda f: [r.x for r in f.orderBy("i").collect()]
+    assert along(prefixes.take_while(df, "x < 20", "i")) == [11, 14]
+    assert along(prefixes.skip_while(df, "x < 20", "i")) == [20, 17, 26, 12, 30]
+    assert along(prefixes.take_until(df, "x % 13 == 0", "i")) == [11, 14, 20, 17]
+    assert along(prefixes.skip_until(df, "x % 13 == 0", "i")) == [26, 12, 30]
+    assert prefixes.take_while(df, "x < 99", "i").count() == 7
     assert prefixes.limit(df, 0).count() == 0
     with pytest.raises(OrderRequired):
-        prefixes.take_while(df, "x < 3", None)
+        prefixes.take_while(df, "x < 20", None)
 
 
 def test_update_and_rename(spark):
@@ -100,42 +101,42 @@ def test_errors_travel(spark):
 
 
 def test_running(spark):
-    df = spark.createDataFrame([(0, 10.0), (1, 20.0), (2, 30.0)], "i long, value double")
-    assert rows(running.running_sum(df, "value", "i"), "i", "running_sum", "running_count", "running_avg") == [(0, 10.0, 1, 10.0), (1, 30.0, 2, 15.0), (2, 60.0, 3, 20.0)]
-    assert rows(running.running_average(df, "value", 2, "i"), "i", "moving_avg", "window_size", "total_count") == [(0, 10.0, 1, 1), (1, 15.0, 2, 2), (2, 25.0, 2, 3)]
+    df = spark.createDataFrame([(0, 4.0), (1, 7.5), (2, -1.5), (3, 6.0)], "i long, value double")
+    assert rows(running.running_sum(df, "value", "i"), "i", "running_sum", "running_count", "running_avg") == [(0, 4.0, 1, 4.0), (1, 11.5, 2, 5.75), (2, 10.0, 3, 10.0 / 3), (3, 16.0, 4, 4.0)]
+    assert rows(running.running_average(df, "value", 3, "i"), "i", "moving_avg", "window_size", "total_count") == [(0, 4.0, 1, 1), (1, 5.75, 2, 2), (2, 10.0 / 3, 3, 3), (3, 4.0, 3, 4)]
     assert running.running_average(df, "value", 0, "i").count() == 0
-    assert rows(running.exponential_moving_average(df, "value", 0.5, "i"), "ema") == [(10.0,), (15.0,), (22.5,)]
-    m = spark.createDataFrame([(0, 10), (1, 5), (2, None), (3, 3)], "i long, value long")
-    assert rows(running.running_min_max(m, "value", "i"), "i", "running_min", "running_max")[-1] == (3, 0.0, 10.0)
-    assert rows(running.running_min_max(m, "value", "i", skip_missing=True), "i", "running_min")[-1] == (3, 3.0)
-    c = spark.createDataFrame([(0, "A"), (1, "B"), (2, "A"), (3, "A")], "i long, category string")
+    assert [r.ema for r in running.exponential_moving_average(df, "value", 0.2, "i").orderBy("i").collect()] == pytest.approx([4.0, 4.7, 3.46, 3.968])
+    m = spark.createDataFrame([(0, 8), (1, 6), (2, None), (3, 2)], "i long, value long")
+    assert rows(running.running_min_max(m, "value", "i"), "i", "running_min", "running_max")[-1] == (3, 0.0, 8.0)
+    assert rows(running.running_min_max(m, "value", "i", skip_missing=True), "i", "running_min")[-1] == (3, 2.0)
+    c = spark.createDataFrame([(0, "ash"), (1, "oak"), (2, "oak"), (3, "elm"), (4, "ash")], "i long, tree string")
     for parts in ((), ("k",)):
-        got = running.running_count(c.withColumn("k", F.lit(1)), "category", "i", parts).orderBy("i").collect()
-        assert [(r.total_count, r.distinct_values) for r in got] == [(1, 1), (2, 2), (3, 2), (4, 2)]
-        assert [r.distinct_counts for r in got] == [{"A": 1}, {"A": 1, "B": 1}, {"A": 2, "B": 1}, {"A": 3, "B": 1}]
+        got = running.running_count(c.withColumn("k", F.lit(1)), "tree", "i", parts).orderBy("i").collect()
+        assert [(r.total_count, r.distinct_values) for r in got] == [(1, 1), (2, 2), (3, 2), (4, 3), (5, 3)]
+        assert [r.distinct_counts for r in got] == [{"ash": 1}, {"ash": 1, "oak": 1}, {"ash": 1, "oak": 2}, {"ash": 1, "oak": 2, "elm": 1}, {"ash": 2, "oak": 2, "elm": 1}]
 
 
 def test_count_windows(spark):
-    df = ints(spark, list(range(1, 8)))
+    df = ints(spark, [9, 8, 6, 3, 7, 5, 4, 2])
     got = windowing.count_window(df, 3, "i").orderBy("window").collect()
-    assert [[x.x for x in r.rows] for r in got] == [[1, 2, 3], [4, 5, 6], [7]]
-    got = windowing.sliding_count_window(ints(spark, [1, 2, 3, 4, 5]), 3, 1, "i").orderBy("window").collect()
-    assert [[x.x for x in r.rows] for r in got] == [[1, 2, 3], [2, 3, 4], [3, 4, 5]]
+    assert [[x.x for x in r.rows] for r in got] == [[9, 8, 6], [3, 7, 5], [4, 2]]
+    got = windowing.sliding_count_window(df, 4, 2, "i").orderBy("window").collect()
+    assert [[x.x for x in r.rows] for r in got] == [[9, 8, 6, 3], [6, 3, 7, 5], [7, 5, 4, 2]]
     got = windowing.sliding_count_window(df, 3, 5, "i").orderBy("window").collect()
-    assert [[x.x for x in r.rows] for r in got] == [[1, 2, 3], [4, 5, 6]]
+    assert [[x.x for x in r.rows] for r in got] == [[9, 8, 6], [3, 7, 5]]
 
 
 def test_time_windows(spark):
-    at = dt.datetime(2024, 1, 1, 0, 0, 0)
-    df = spark.createDataFrame([(at + dt.timedelta(seconds=s), i) for i, s in enumerate((0, 1, 5, 6))] + [(None, 9)], "time timestamp_ntz, v long")
-    got = windowing.time_window(df, 5, "time").orderBy("window_start").collect()
-    assert [[x.v for x in r.rows] for r in got] == [[0, 1], [2, 3]]
+    at = dt.datetime(2023, 5, 6, 7, 0, 0)
+    df = spark.createDataFrame([(at + dt.timedelta(seconds=s), i) for i, s in enumerate((3, 7, 11, 12, 31))] + [(None, 9)], "time timestamp_ntz, v long")
+    got = windowing.time_window(df, 10, "time").orderBy("window_start").collect()
+    assert [[x.v for x in r.rows] for r in got] == [[0, 1], [2, 3], [4]]
     assert windowing.offset_seconds(7 * 86400) == 4 * 86400 and windowing.offset_seconds(3600) == 0
-    assert prefixes.time_limit(df.filter("v < 9"), "time", 5, "v").count() == 3
+    assert prefixes.time_limit(df.filter("v < 9"), "time", 9, "v").count() == 4
     text = df.filter("v < 9").withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
-    assert windowing.time_window(text, 5, "time").count() == 2
+    assert windowing.time_window(text, 10, "time").count() == 3
     unix = df.filter("v < 9").select(F.unix_seconds(F.col("time").cast("timestamp")).alias("time"), "v")
-    assert windowing.time_window(unix, 5, "time").count() == 2
+    assert windowing.time_window(unix, 10, "time").count() == 3
 
 
 numbers = st.lists(st.one_of(st.none(), st.integers(-50, 50)), max_size=25)

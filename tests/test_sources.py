@@ -96,12 +96,20 @@ def test_table_profile_and_charts(spark, tmp_path):
         charts.interactive_chart(df.limit(0), str(tmp_path / "x.html"))
 
 
-def test_a_chart_says_what_it_leaves_out(spark, tmp_path):
+def test_a_chart_stands_for_all_rows(spark, tmp_path):
+    """More rows than points: neighbours are averaged, none is left out, and the page says so."""
+    import json
+    import re
+
     from tarnflow.sources.charts import ChartConfig, interactive_chart
 
-    df = spark.range(20).selectExpr("cast(id as string) as x", "id as y")
-    for most, noted in ((20, False), (19, True)):
+    df = spark.range(20).selectExpr("cast(100 + id as string) as x", "id as y")
+    for most, noted in ((20, False), (10, True)):
         path = str(tmp_path / f"{most}.html")
-        interactive_chart(df, path, ChartConfig(max_points=most, x_field="x", y_fields=["y"]))
-        with open(path, encoding="utf-8") as page:
-            assert ("rows only" in page.read()) == noted
+        interactive_chart(df, path, ChartConfig(max_points=most, x_field="x", y_fields=["y"]), ["x"])
+        with open(path, encoding="utf-8") as f:
+            page = f.read()
+        assert ("20 rows, drawn as 10 points" in page) == noted
+        data = json.loads(re.search(r"const D=(\{.*?\});", page, re.S)[1])
+        assert data["series"][0]["values"] == ([2 * i + 0.5 for i in range(10)] if noted else list(range(20)))
+        assert data["labels"][1] == ("102" if noted else "101")

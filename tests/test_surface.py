@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,38 +15,38 @@ from tarnflow.plans import catalog, cli
 from tarnflow.plans.flow import Flow
 
 SF = "/root/testdata/sf0.001"
-PEOPLE = "name,age,department,salary\nAlice,30,Engineering,95000\nBob,25,Sales,55000\nCarol,35,Engineering,105000\nEve,28,Engineering,98000\nHenry,41,Engineering,110000\n"
+BOATS = "boat,year,harbour,tonnes\nTern,1990,Oban,310\nSkua,1985,Mallaig,120\nGannet,1995,Oban,640\nPetrel,1988,Oban,450\nPuffin,2001,Oban,720\n"
 
 
 def test_flow(spark, tmp_path):
-    p = tmp_path / "people.csv"
-    p.write_text(PEOPLE)
-    top = Flow.read_csv(spark, str(p)).where_match(("department", "eq", "Engineering")).include("name", "salary").sort("-salary").limit(3)
-    assert [tuple(r) for r in top.frame.collect()] == [("Henry", 110000), ("Carol", 105000), ("Eve", 98000)]
+    p = tmp_path / "boats.csv"
+    p.write_text(BOATS)
+    top = Flow.read_csv(spark, str(p)).where_match(("harbour", "eq", "Oban")).include("boat", "tonnes").sort("-tonnes").limit(3)
+    assert [tuple(r) for r in top.frame.collect()] == [("Puffin", 720), ("Gannet", 640), ("Petrel", 450)]
     f = Flow.read_csv(spark, str(p))
-    assert [r.name for r in f.take_while("age >= 30").frame.collect()] == ["Alice"]
-    assert f.running_sum("salary").frame.orderBy("_row_number").collect()[1].running_sum == 150000.0
+    assert [r.boat for r in f.take_while("year >= 1990").frame.collect()] == ["Tern"]
+    assert f.running_sum("tonnes").frame.orderBy("_row_number").collect()[1].running_sum == 430.0
     with pytest.raises(OrderRequired):
-        f.group_by("department", n=grouping.count()).reverse()
-    assert [r.name for r in f.reverse().limit(1).frame.collect()] == ["Henry"]
+        f.group_by("harbour", n=grouping.count()).reverse()
+    assert [r.boat for r in f.reverse().limit(1).frame.collect()] == ["Puffin"]
 
 
 def test_command_line(spark, tmp_path, capsys):
-    p = tmp_path / "people.csv"
-    p.write_text(PEOPLE)
-    line = ["read-csv", str(p), "then", "where", "-match", "age", "gt", "26", "+", "-expr", 'name == "Bob"', "then", "update", "-match", "salary", "ge", "100000", "-set", "band", "high", "+", "-set", "band", "low"]
+    p = tmp_path / "boats.csv"
+    p.write_text(BOATS)
+    line = ["read-csv", str(p), "then", "where", "-match", "year", "gt", "1986", "+", "-expr", 'boat == "Skua"', "then", "update", "-match", "tonnes", "ge", "500", "-set", "band", "high", "+", "-set", "band", "low"]
     out = cli.run_line(spark, line)
-    assert rows(out.frame, "name", "band") == [("Alice", "low"), ("Bob", "low"), ("Carol", "high"), ("Eve", "low"), ("Henry", "high")]
-    g = cli.run_line(spark, [*line, "then", "group-by", "band", "-count", "n", "-avg", "salary", "mean", "then", "rename", "-as", "n", "count", "then", "sort", "count"])
+    assert rows(out.frame, "boat", "band") == [("Gannet", "high"), ("Petrel", "low"), ("Puffin", "high"), ("Skua", "low"), ("Tern", "low")]
+    g = cli.run_line(spark, [*line, "then", "group-by", "band", "-count", "n", "-avg", "tonnes", "mean", "then", "rename", "-as", "n", "count", "then", "sort", "count"])
     assert rows(g.frame, "band", "count") == [("high", 2), ("low", 3)]
     d = tmp_path / "d.csv"
-    d.write_text("dept,floor\nEngineering,3\n")
-    j = cli.run_line(spark, ["read-csv", str(p), "then", "join", "-type", "left", "-right", str(d), "-left-field", "department", "-right-field", "dept", "then", "exclude", "dept"])
-    assert j.frame.filter("floor is null").count() == 1
+    d.write_text("port,depth\nOban,3\n")
+    j = cli.run_line(spark, ["read-csv", str(p), "then", "join", "-type", "left", "-right", str(d), "-left-field", "harbour", "-right-field", "port", "then", "exclude", "port"])
+    assert j.frame.filter("depth is null").count() == 1
     u = cli.run_line(spark, ["read-csv", str(p), "then", "union", "-file", str(p), "then", "offset", "2", "then", "distinct"])
     assert u.frame.count() == 3
     assert cli.run_line(spark, ["read-csv", str(p), "then", "limit", "1", "then", "table"]) is None
-    assert "Alice" in capsys.readouterr().out
+    assert "Tern" in capsys.readouterr().out
     assert cli.main(["version"]) == 0 and cli.main(["functions", "-category", "math"]) == 0
     assert "round(n)" in capsys.readouterr().out
     assert cli.main(["limit", "x"]) == 2 and cli.main(["nonsense"]) == 2
@@ -91,7 +92,7 @@ def duck():
 def plain(frame):
     out = []
     for r in frame.astype(object).itertuples(index=False):
-        out.append(tuple("null" if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v) if not isinstance(v, (int, bool)) else float(v) for v in r))
+        out.append(tuple("null" if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, float) else str(v) if not isinstance(v, (int, bool)) else float(v) for v in r))
     return sorted(out, key=repr)
 
 
