@@ -12,13 +12,14 @@
    trained on the posterior labels and scores every text; its intercept is set so
    that 0.5 parts the given labels of the sample best.
 
-Steps 1 to 3 see at most ``SAMPLE`` labelled and ``SAMPLE`` other rows (those with
-the smallest hash of their id); every row of the table is scored.
+The lexicon and the classifier are fitted on at most ``SAMPLE`` labelled rows (those
+with the smallest hash of their id). The label model sees the votes on every row, as
+counts of rows of the same votes, and every row of the table is scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, cut, materialize, small_batches, texts, trim
+from .common import crc_bucket, cut, discard, materialize, small_batches, texts, trim
 from .terms import U, Words, code_points, is_letter, is_space, mix
 
-#: Bounds of the fit: rows of either kind, lexicon terms, voters.
+#: Bounds of the fit: labelled rows, lexicon terms, voters.
 SAMPLE, LEXICON, VOTERS = 8000, 512, 96
 #: Labelled toxic texts that must use a term before it may enter the lexicon.
 SUPPORT = 3
@@ -112,45 +113,128 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of "toxic" for each row of ``votes`` (0/1, one column per voter).
-
-    ``gold`` holds given labels 0 or 1, or -1 where there is none; they are one more,
-    rather accurate voter whose noise is estimated too. Their share of "toxic" is the
-    prior: as who abstains says nothing, the rows could not hold a fitted one back.
+@dataclass
+class LabelModel:
+    """How often each voter fires on toxic (``on``) and on clean texts (``off``), the share of toxic texts, the noise of given labels, and what each voter's evidence counts for."""
+
+    on: np.ndarray
+    off: np.ndarray
+    prior: float
+    noise: float
+    weight: np.ndarray
+
+    def posterior(self, votes: np.ndarray, gold: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of ``votes`` (0/1, one column per voter), with ``gold`` 0, 1 or -1 (none given)."""
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.on / self.off))  # who abstains says nothing
+        return _sigmoid(z + np.where(gold >= 0, np.where(gold == 1, 1, -1) * np.log((1 - self.noise) / self.noise), 0))
+
+
+def _moments(votes: np.ndarray, gold: np.ndarray, count: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Sums over rows that one round of the fit needs; they add up over parts of a table."""
+    known = (gold >= 0) * count
+    wrong = np.where(gold == 1, 1 - post, post) * known
+    return np.concatenate([votes.T @ (count * post), [count.sum(), (count * post).sum(), (count * post * post).sum(), known.sum(), wrong.sum()]])
+
+
+def label_model(total: Callable[[LabelModel | None], np.ndarray], fired: np.ndarray, fired_known: np.ndarray, both_known: np.ndarray, prior: float, rounds: int = 15) -> LabelModel:
+    """Expectation maximisation over a table of votes that only ``total`` sees.
+
+    ``total(model)`` gives the ``_moments`` of all rows under a model, and under None
+    those of the rows with a given label, which is then believed: the start. On those
+    rows the voters' correlations are measured, as elsewhere classes are not certain
+    enough to tell an echo from a class. ``fired`` and ``fired_known`` say on how many
+    rows (of all, of the labelled) a voter fires, ``both_known`` two voters. Given
+    labels are one more, rather accurate voter whose noise is estimated too. Their
+    share of "toxic" is the prior: as who abstains says nothing, the rows could not
+    hold a fitted one back.
     """
-    known = gold >= 0
-    prior = float(np.clip(gold[known].mean() if known.any() else 0.1, 0.01, 0.99))
-    post = np.where(known, np.where(gold == 1, 0.95, 0.02), prior)
-    noise = 0.02
+    n = len(fired)
+    x = total(None)
+    on_sum, (size, p, p2, _, _) = x[:n], x[n:]
+    on, off = (on_sum + 0.5) / (p + 1), (fired_known - on_sum + 0.5) / (size - p + 1)
+    model = LabelModel(on, off, prior, 0.02, 1 / _echo(on_sum, fired_known, both_known, size, p, p2, on, off))
     for _ in range(rounds):
-        p, q = post.sum(), (1 - post).sum()
-        on = (votes.T @ post + 0.5) / (p + 1)
-        off = (votes.T @ (1 - post) + 0.5) / (q + 1)
-        weight = 1 / _echo(votes, post, on, off)
-        z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on / off))  # who abstains says nothing
-        z = z + np.where(known, np.where(gold == 1, 1, -1) * np.log((1 - noise) / noise), 0)
-        new = _sigmoid(z)
-        if known.any():
-            wrong = np.where(gold == 1, 1 - new, new)[known].mean()
-            noise = float(np.clip(wrong, 0.005, 0.2))
-        done = np.abs(new - post).max() < 1e-4
-        post = new
-        if done:
+        x = total(model)
+        on_sum, (size, p, _, known, wrong) = x[:n], x[n:]
+        on, off = (on_sum + 0.5) / (p + 1), (fired - on_sum + 0.5) / (size - p + 1)
+        noise = float(np.clip(wrong / known, 0.005, 0.2)) if known else model.noise
+        moved = max(np.abs(np.log(on / model.on)).max(initial=0), np.abs(np.log(off / model.off)).max(initial=0), abs(noise - model.noise))
+        model = LabelModel(on, off, prior, noise, model.weight)
+        if moved < 1e-3:
             break
-    return post
+    return model
 
 
-def _echo(votes: np.ndarray, post: np.ndarray, on: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """1 + the sum of each voter's correlations to others within the classes (small ones are noise and left out)."""
-    centred = votes - post[:, None] * on - (1 - post)[:, None] * off
-    cov = centred.T @ centred / max(1, len(votes))
+def _echo(on_sum: np.ndarray, fired: np.ndarray, both: np.ndarray, size: float, p: float, p2: float, on: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """1 + the sum of each voter's correlations to others within the classes (small ones are noise and left out).
+
+    A row's votes are expected at ``off + post * (on - off)``; the products of what
+    they are off by, summed over rows, follow from sums alone.
+    """
+    d = on - off
+    cross = np.outer(fired, off) + np.outer(on_sum, d)
+    cov = both - cross - cross.T + size * np.outer(off, off) + p * (np.outer(off, d) + np.outer(d, off)) + p2 * np.outer(d, d)
+    cov = cov / max(1.0, size)
     sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
     corr = cov / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
     return 1 + np.where(corr > 0.2, corr, 0).sum(axis=1)
 
 
+def _bits(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of up to 126 votes as two whole numbers."""
+    power = np.left_shift(np.int64(1), np.arange(63, dtype=np.int64))
+    v = votes.astype(np.int64)
+    return v[:, :63] @ power[: min(63, v.shape[1])], v[:, 63:] @ power[: max(0, v.shape[1] - 63)]
+
+
+def _unbits(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    at = np.arange(63, dtype=np.int64)
+    return np.hstack([(low[:, None] >> at) & 1, (high[:, None] >> at) & 1])[:, :n].astype(float)
+
+
+def _patterns(docs: DataFrame, given: DataFrame, blank: Classifier, voters: np.ndarray) -> DataFrame:
+    """``(low, high, y, n)``: how many texts of ``docs(id, text)`` have which votes and given label (-1: none); copies of a text count once."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches):
+            low, high = _bits(blank.features(texts(b.column(1)))[:, voters] > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(low), pa.array(high)], names=["id", "copy", "low", "high"])
+        trim()
+
+    seen = docs.select("id", "text", F.xxhash64("text").alias("copy")).mapInArrow(look, "id long, copy long, low long, high long")
+    seen = seen.join(given.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
+    seen = seen.groupBy("copy").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max(F.coalesce("y", F.lit(-1))).alias("y"))
+    return materialize(seen.groupBy("low", "high", "y").agg(F.count("*").alias("n")), "patterns")
+
+
+def _fitted(patterns: DataFrame, n: int) -> LabelModel:
+    """The label model of all rows behind ``patterns``, some of which have a label; a round is one pass over them, a row of sums for each task."""
+
+    def summed(make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = 0
+            for b in batches:
+                low, high, y, count = (c.to_numpy() for c in b.columns)
+                for i in range(0, len(low), 8192):
+                    s = slice(i, i + 8192)
+                    out = out + make(_unbits(low[s], high[s], n), y[s], count[s].astype(float))
+            if not np.isscalar(out):
+                yield pa.RecordBatch.from_arrays([pa.array([out.astype(float).tobytes()], pa.binary())], names=["sums"])
+
+        return sum((np.frombuffer(r.sums) for r in patterns.mapInArrow(run, "sums binary").collect()), np.zeros(1))
+
+    def counts(v: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
+        known = v * (c * (y >= 0))[:, None]
+        return np.concatenate([[((y == 1) * c).sum(), ((y >= 0) * c).sum()], (v * c[:, None]).sum(axis=0), known.sum(axis=0), (known.T @ v).ravel()])
+
+    start = summed(counts)
+    prior = float(np.clip(start[0] / start[1], 0.01, 0.99))
+    believed = lambda y: np.where(y == 1, 0.95, 0.02)
+    moments = lambda model: summed(lambda v, y, c: _moments(v, y, c * (y >= 0), believed(y)) if model is None else _moments(v, y, c, model.posterior(v, y)))
+    return label_model(moments, start[2 : 2 + n], start[2 + n : 2 + 2 * n], start[2 + 2 * n :].reshape(n, n), prior)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Newton's method, with steps halved until they help; the intercept is hardly penalised."""
     x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
@@ -204,15 +288,17 @@ def _sample(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Classifier:
-    """Learn from ``labels(id, label 0/1)`` and the texts of ``docs``; other label values are ignored."""
+    """Learn from ``labels(id, label 0/1)`` and the texts of ``docs``; other label values are ignored.
+
+    Lexicon and classifier are fitted on at most ``sample`` labelled rows; the label
+    model counts the votes on all rows, labelled or not.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     given = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     given = materialize(given, "given")
-    all_ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null")
-    some = _sample(given, "id", sample).unionByName(_sample(all_ids.join(given, "id", "left_anti"), "id", sample).withColumn("y", F.lit(-1)))
-    some = materialize(some.groupBy("id").agg(F.max("y").alias("y")).coalesce(1), "sample")
-    # at most 2 * sample rows, so it is broadcast
+    some = materialize(_sample(given, "id", sample).coalesce(1), "sample")
+    # at most ``sample`` rows, so it is broadcast
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = base.join(F.broadcast(some), "id").groupBy(F.xxhash64("text").alias("copy")).agg(F.min(F.struct("id", "y", "text")).alias("r")).select("r.*")
     held = materialize(held, "held")
@@ -236,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_pos or not n_neg:
         share = (n_pos + 0.5) / (n_pos + n_neg + 1) if n_pos + n_neg else 0.0
         return Classifier(np.zeros(0, U), np.zeros(0, np.int32), np.zeros(PATTERNS), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    counted = held.filter("y >= 0").mapInArrow(count, "term long, level int, pos long, neg long").groupBy("term", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counted = held.mapInArrow(count, "term long, level int, pos long, neg long").groupBy("term", "level").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = F.col("pos") + F.col("neg")
     share = n_pos / (n_pos + n_neg)
     gain = lambda n, part: F.when(n > 0, n * F.log(n / (total * part))).otherwise(0.0)
@@ -258,7 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         x[i, r.on] = 1
     gold = np.array([r.y for r in seen])
     voters = np.concatenate([np.arange(min(VOTERS, len(terms))), len(terms) + np.arange(PATTERNS)])
-    post = label_model(x[:, voters].astype(np.float64), gold)
+    patterns = _patterns(base, given, blank, voters)
+    post = _fitted(patterns, len(voters)).posterior(x[:, voters].astype(np.float64), gold)
+    discard(patterns)
     weights, intercept = _logistic(x, post)
     intercept -= _border(x @ weights + intercept, gold)
     return Classifier(terms, levels, weights, intercept)
@@ -283,7 +371,7 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     one; rows without an id are never learnt from. Without labels of both kinds every
     score is the same. Empty and null texts get the score of a text without any vote,
     repeated rows each get theirs, an empty table gives no rows, extra columns are
-    not read.
+    not read. A text is never cut, however long.
     """
     kept = labels.filter(crc_bucket(F.col(id_col), folds) != held_out)
     model = fit(docs.filter(crc_bucket(F.col(id_col), folds) != held_out), kept, id_col, text_col)
@@ -292,7 +380,11 @@ def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``limit``; all their columns, nothing is shuffled."""
+    """``docs`` without the rows whose score reaches ``limit``; all their columns, clashing names included; texts are not shuffled.
+
+    Null and empty texts stay unless a text without any vote is flagged; repeated rows
+    and rows without an id are judged each by its own text; an empty table gives no rows.
+    """
     kept = labels.filter(crc_bucket(F.col(id_col), 5) != 0)
     model = fit(docs.filter(crc_bucket(F.col(id_col), 5) != 0), kept, id_col, text_col)
     small_batches(docs.sparkSession)

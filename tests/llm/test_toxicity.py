@@ -62,20 +62,95 @@ def test_odd_rows(spark, odd, repeated, nothing):
     assert tx.drop_toxic(nothing, none).count() == 0
 
 
-def test_label_model_weighs_voters_and_echoes():
+def plain_label_model(votes, gold, rounds=15):
+    """The same fit row by row, with the correlations taken from the labelled rows themselves."""
+    prior, noise, known = gold[gold >= 0].mean(), 0.02, gold >= 0
+    v, post = votes[known], np.where(gold[known] == 1, 0.95, 0.02)
+    for i in range(rounds + 1):
+        on, off = (v.T @ post + 0.5) / (post.sum() + 1), (v.T @ (1 - post) + 0.5) / ((1 - post).sum() + 1)
+        if not i:
+            centred = v - post[:, None] * on - (1 - post)[:, None] * off
+            cov = centred.T @ centred / len(v)
+            corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+            np.fill_diagonal(corr, 0)
+            weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
+        model = tx.LabelModel(on, off, prior, noise, weight)
+        v, post = votes, model.posterior(votes, gold)
+        noise = float(np.clip(np.where(gold == 1, 1 - post, post)[known].mean(), 0.005, 0.2))
+    return model
+
+
+def test_label_model_weighs_voters_and_echoes(spark):
     rng = np.random.default_rng(2)
-    y = rng.random(2000) < 0.3
-    good = [(np.where(y, rng.random(2000) < 0.6, rng.random(2000) < 0.02)) for _ in range(6)]
-    noise = rng.random(2000) < 0.2
-    votes = np.array([*good, noise, noise, noise]).T.astype(float)
-    gold = np.where(np.arange(2000) < 200, y, -1).astype(int)
-    post = tx.label_model(votes, gold)
-    assert np.mean((post > 0.5) == y) > 0.9
-    on, off = votes[y].mean(axis=0), votes[~y].mean(axis=0)
-    echo = tx._echo(votes, y.astype(float), on, off)
-    assert (echo[-3:] > 2.9).all() and (echo[:6] < 1.2).all()
+    y = rng.random(3000) < 0.3
+    good = [(np.where(y, rng.random(3000) < 0.6, rng.random(3000) < 0.01)) for _ in range(6)]
+    rare = [(np.where(y, rng.random(3000) < 0.1, rng.random(3000) < 0.0005)) for _ in range(60)]
+    noise = rng.random(3000) < 0.2
+    votes = np.array([*good, noise, noise, noise, *rare]).T.astype(float)
+    gold = np.where(np.arange(3000) < 900, y, -1).astype(int)
+    low, high = tx._bits(votes > 0)
+    assert (tx._unbits(low, high, votes.shape[1]) == votes).all()
+    df = spark.createDataFrame(list(zip(low.tolist(), high.tolist(), gold.tolist(), [1] * 3000)), "low long, high long, y int, n long")
+    model = tx._fitted(df.repartition(5), votes.shape[1])
+    assert np.mean((model.posterior(votes, gold) > 0.5) == y) > 0.9
+    echo = 1 / model.weight
+    assert (echo[6:9] > 2.9).all() and (echo[:6] < 1.2).all()
+    plain = plain_label_model(votes, gold)
+    assert np.allclose(model.on, plain.on, atol=0.01) and np.allclose(model.off, plain.off, atol=0.01) and np.allclose(model.weight, plain.weight, atol=1e-6)
 
 
 def test_patterns():
     got = tx.patterns_of(["THIS IS ALL LOUD", "what!! ever!!", "aaaaaaa b", "x" * 41, "plain text", ""])
     assert got.tolist() == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 1, 1], [0, 0, 0, 0], [0, 0, 0, 0]]
+
+
+def plain_terms(t):
+    """How often a text has each term: words, and beginnings of longer words, of letters in lower case."""
+    out, word = {}, ""
+    for c in t.lower() + " ":
+        if c.isalpha():
+            word += c
+        elif word:
+            for kind, n in enumerate(tx.KINDS):
+                if n is None or len(word) > n:
+                    key = (kind, word if n is None else word[:n])
+                    out[key] = out.get(key, 0) + 1
+            word = ""
+    return out
+
+
+def test_lexicon_and_scores_against_plain_python(spark):
+    texts, toxic = corpus(300, seed=4)
+    learn = [zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300)]
+    df, given = frame(spark, texts), labels(spark, toxic)
+    model = tx.fit(df.filter("crc32(cast(doc_id as string)) % 5 <> 0"), given.filter("crc32(cast(doc_id as string)) % 5 <> 0"))
+    counts = [plain_terms(t) for t in texts]
+    names = {}
+    for c in counts:
+        for kind, piece in c:
+            if (kind, piece) not in names:
+                word = piece if tx.KINDS[kind] is None else piece + "q"
+                owner, found = tx.terms_of([word])
+                names[kind, piece] = int(found[sum(n is None or len(word) > n for n in tx.KINDS[: kind + 1]) - 1])
+    rows, n_pos, n_neg = {}, sum(t for t, u in zip(toxic, learn) if u), sum(1 - t for t, u in zip(toxic, learn) if u)
+    for c, t, use in zip(counts, toxic, learn):
+        if use:
+            for key, n in c.items():
+                for level in tx.LEVELS:
+                    if n >= level:
+                        rows.setdefault((names[key], level), [0, 0])[1 - t] += 1
+    share = n_pos / (n_pos + n_neg)
+    gain = lambda n, total, part: n * np.log(n / (total * part)) if n else 0.0
+    want = set()
+    for (term, level), (pos, neg) in rows.items():
+        z = gain(pos, pos + neg, share) + gain(neg, pos + neg, 1 - share)
+        if pos >= tx.SUPPORT and pos * n_neg > 4 * neg * n_pos and z >= tx.EVIDENCE:
+            want.add((term, level))
+    assert {(int(a), int(b)) for a, b in zip(model.lexicon, model.levels)} == want and 0 < len(want) < tx.LEXICON
+    got = {r.id: r.score for r in tx.judge(df, given).collect()}
+    by_hash = [{names[k]: n for k, n in c.items()} for c in counts]
+    for i, c in enumerate(by_hash):
+        z = model.intercept + sum(w for a, b, w in zip(model.lexicon, model.levels, model.weights) if c.get(int(a), 0) >= b)
+        z += float(tx.patterns_of([texts[i]])[0] @ model.weights[len(model.lexicon) :])
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
