@@ -81,7 +81,9 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFra
 
     Both frames hold ``(id, fingerprint)``. Equal fingerprints are met once, as
     classes: ``query`` and ``match`` are fingerprints, to be joined with the ids
-    as needed. Null fingerprints meet nothing.
+    as needed, so repeated rows and rows without an id do not matter. Null fingerprints
+    meet nothing, an empty table gives no rows, extra columns are not read. Pairs grow
+    with the number of queries; ask for a stated set, not for all against all.
     """
     digits = BITS // 4
     blocks = radius + 1
@@ -99,6 +101,20 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFra
     return pairs.select("query", "match", "differ").distinct()
 
 
+def near_counts(prints: DataFrame, radius: int, every: int = 100) -> DataFrame:
+    """``(id, n_within)``: for each row of ``prints(id, fingerprint)`` whose id is divisible by ``every``, how many other rows' fingerprints differ in at most ``radius`` bits.
+
+    Copies are one class with a count; a query set against all rows, not all pairs.
+    Rows without an id are counted but ask nothing; ids that repeat ask once for each
+    of their fingerprints.
+    """
+    classes = materialize(prints.groupBy("fingerprint").agg(F.count("*").alias("copies")), "classes")
+    asking = prints.filter(F.col("id") % every == 0).select("id", "fingerprint").distinct()
+    pairs = within_radius(asking, classes, radius)
+    sums = pairs.join(classes, pairs.match == classes.fingerprint).groupBy("query").agg((F.sum("copies") - 1).alias("n_within"))
+    return asking.join(sums, asking.fingerprint == sums.query).select("id", "fingerprint", "n_within")
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each text and of its edited text, and how like they and the next text's are.
 
@@ -109,7 +125,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts. Alone, a document is its own next. An empty table gives no rows.
 
     Neighbours meet without a sort of the whole table: ids are dealt in ranges, and
-    the first text of each range is also sent to the range that precedes it.
+    the first text of each range is also sent to the range that precedes it. All rows
+    without an id, or with one and the same, are one range, and so one task: their
+    texts stream through it one after the other. A text is never cut, however long.
     """
     spark = docs.sparkSession
     small_batches(spark)

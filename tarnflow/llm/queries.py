@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, fingerprint, language, mixing, packing, simhash_dedup, suffix_dedup, token_file, toxicity, url_filter
-from .common import new_path, table, vocabulary
+from .common import materialize, new_path, table, vocabulary
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
-    return out.withColumnRenamed("id", "doc_id")
+    out = materialize(fingerprint.edited_fingerprints(table(spark, sf_dir, "documents")), "edited")
+    near = fingerprint.near_counts(out.select("id", "fingerprint"), radius=3)
+    return out.join(near, ["id", "fingerprint"], "left").withColumnRenamed("id", "doc_id")
 
 
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,20 @@ def test_search_finds_all_within_the_radius(spark):
         assert got == want
     with pytest.raises(ValueError):
         fp.within_radius(prints, prints, 32)
+
+
+def test_counts_within_the_radius(spark):
+    texts = [" ".join([*prose(i // 4, 80).split()[: 80 - i % 4], *["x"] * (i % 4)]) for i in range(60)] + [prose(3, 80)] * 5
+    ids = [*range(0, 600, 10), 1, 2, 3, None, None]
+    prints = fp.fingerprints(frame(spark, texts, ids=ids))
+    value = [int(r.tobytes().hex(), 16) for r in fp.simhash_batch(texts)]
+    for radius in (3, 12):
+        want = {i: sum((v ^ w).bit_count() <= radius for w in value) - 1 for i, v in zip(ids, value) if i is not None and i % 100 == 0}
+        assert {r.id: r.n_within for r in fp.near_counts(prints, radius).collect()} == want
+
+
+def test_texts_of_megabytes(spark):
+    texts = [prose(1, 330_000), "a b", prose(2, 330_000)]
+    rows = sorted(fp.edited_fingerprints(frame(spark, texts)).collect(), key=lambda r: r.id)
+    assert [r.edited_sha256 for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for t in brute_edited(texts)]
+    assert [r.fingerprint for r in rows] == [x.tobytes().hex() for x in fp.simhash_batch(texts)]
