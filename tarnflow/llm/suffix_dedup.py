@@ -10,8 +10,8 @@ could share ``LENGTH`` bytes have to be sorted against each other.
    equal. Neighbouring windows share an anchor; about one byte in 37 is one. The
    bytes around an anchor that its windows cover are its context.
 2. Contexts. Anchors meet by value, as packed columns. One whose whole context was
-   seen earlier (by a 64-bit hash, on top of the anchor's own) is repeated in all its
-   windows. An anchor value with one context is settled; values with several differing
+   seen earlier (by two independent 64-bit hashes, on top of the anchor's own) is
+   repeated in all its windows. An anchor value with one context is settled; values with several differing
    contexts go on, with the first of each.
 3. Suffixes. The contexts of one value are sorted as suffixes that start at the anchor,
    and once more as reversed prefixes that end there, each by a mergesort whose
@@ -21,9 +21,9 @@ could share ``LENGTH`` bytes have to be sorted against each other.
    place that are equal fall out as runs: equal to the right for so many bytes, equal
    to the left for the rest.
 
-A value with more than ``HOT`` differing contexts is not sorted in one task: its
-windows are dealt by their own content (anchor, place and two hashes), and the
-first of each is an aggregate.
+A value with more than ``HOT`` differing contexts is no longer one piece of work: its
+windows are dealt by their own bytes, and the first of each is an aggregate. Both ways
+give the same windows.
 """
 
 from __future__ import annotations
@@ -45,9 +45,9 @@ LENGTH, GRAM = 100, 32
 #: Differing contexts of one anchor value that are still sorted in one task.
 HOT = 50_000
 #: Anchors a task gathers before it sends them.
-FLUSH = 1 << 21
+FLUSH = 1 << 18
 #: Contexts that are sorted at once.
-SORTED = 1 << 16
+SORTED = 1 << 14
 
 _B = 0x9E3779B97F4A7C15 | 1
 _B2 = 0xC2B2AE3D27D4EB4F | 1
@@ -71,19 +71,41 @@ _POWERS = _Powers(_B)
 _VALUE = mix(np.arange(256, dtype=U) + U(99))
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+#: A second hash, of other values of the bytes and another base, that no collision of the first is likely to share.
+_CHECK_POWERS = _Powers(_B2)
+_CHECK_VALUE = mix(np.arange(256, dtype=U) + U(0x5EED))
+
+
+def _prefix(data: np.ndarray, powers: _Powers, value: np.ndarray) -> np.ndarray:
     """Prefix polynomial hashes: entry i is that of the first i bytes."""
-    up, _ = _POWERS.upto(len(data) + 1)
+    up, _ = powers.upto(len(data) + 1)
     out = np.zeros(len(data) + 1, U)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(value[data] * up[: len(data)], out=out[1:])
     return out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``(value, context hash, place, first window, last window)`` of the anchors of a text of at least ``length`` bytes."""
+#: Bytes of a text whose anchors are found at once; a longer text is worked on in stretches that overlap by a window.
+STRETCH = 1 << 20
+
+
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, stretch: int | None = None) -> tuple[np.ndarray, ...]:
+    """``(value, two context hashes, place, first window, last window)`` of the anchors of a text of at least ``length`` bytes.
+
+    Where a stretch of a long text ends, an anchor's windows are cut in two groups, each with a context of its own.
+    """
+    step = stretch or STRETCH
+    parts = []
+    for at in range(0, len(data) - length + 1, step):
+        *hashes, place, first, last = _anchors(data[at : at + step + length - 1], length, gram)
+        parts.append((*hashes, place + np.int32(at), first + at, last + at))
+    return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     span = length - gram + 1
-    pre = _prefix(data)
+    pre, check = _prefix(data, _POWERS, _VALUE), _prefix(data, _CHECK_POWERS, _CHECK_VALUE)
     _, down = _POWERS.upto(len(data) + 1)
+    _, check_down = _CHECK_POWERS.upto(len(data) + 1)
     value = mix((pre[gram:] - pre[:-gram]) * down[: len(data) - gram + 1])
     least, at, have = value, np.arange(len(value), dtype=np.int32), 1
     while have < span:
@@ -96,10 +118,11 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     place = at[first]
     shape = (place - first).astype(U) * U(1_000_003) + (last - first).astype(U)
     context = mix((pre[last + length] - pre[first]) * down[first] ^ shape)
-    return value[place], context, place, first, last
+    second = mix((check[last + length] - check[first]) * check_down[first] ^ shape)
+    return value[place], context, second, place, first, last
 
 
-_COLUMNS = (("<u8", "h"), ("<u8", "c"), ("<i8", "doc"), ("<i4", "p"), ("<i4", "lo"), ("<i4", "hi"))
+_COLUMNS = (("<u8", "h"), ("<u8", "c"), ("<u8", "k"), ("<i8", "doc"), ("<i4", "p"), ("<i4", "lo"), ("<i4", "hi"))
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -116,13 +139,16 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
 
 
 def _firsts(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns in order of value, context, document and place; and which rows are the first of their context."""
-    h, c, doc, _, lo, _ = cols
-    order = np.lexsort((lo, doc, c, h))
+    """Columns in order of value, context, document and place; and which rows are the first of their context.
+
+    A context is told by both its hashes, so that a collision of one does not make two of them one.
+    """
+    h, c, k, doc, _, lo, _ = cols
+    order = np.lexsort((lo, doc, k, c, h))
     cols = [x[order] for x in cols]
-    h, c = cols[0], cols[1]
+    h, c, k = cols[:3]
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (k[1:] != k[:-1])
     return cols, first
 
 
@@ -154,7 +180,7 @@ def _settle_contexts(base: DataFrame, length: int, gram: int, hot: int) -> DataF
     buckets = 4 * partitions(spark)
 
     def send(held: list[list[np.ndarray]], task: int) -> Iterator[pa.RecordBatch]:
-        cols, first = _firsts([np.concatenate([x[i] for x in held]) for i in range(6)])
+        cols, first = _firsts([np.concatenate([x[i] for x in held]) for i in range(len(_COLUMNS))])
         bucket = (cols[0] >> U(32)) % U(buckets)
         keep = [c[first] for c in cols]
         order = np.argsort(bucket[first], kind="stable")
@@ -163,10 +189,10 @@ def _settle_contexts(base: DataFrame, length: int, gram: int, hot: int) -> DataF
         ends = np.append(cuts[1:], len(b))
         rows = [(int(b[s]), 0, int(e - s), _pack([c[s:e] for c in keep])) for s, e in zip(cuts, ends, strict=True)]
         again = ~first
-        doc, lo, hi = _runs(cols[2][again], cols[4][again], cols[5][again])
+        doc, lo, hi = _runs(cols[3][again], cols[5][again], cols[6][again])
         if len(doc):  # repeated within this task already: only carried along
             none = np.zeros(len(doc), U)
-            rows.append((task % buckets, 1, len(doc), _pack([none, none, doc, lo, lo, hi])))
+            rows.append((task % buckets, 1, len(doc), _pack([none, none, none, doc, lo, lo, hi])))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[i : i + 256], strict=True), kinds, strict=True)], names=["bucket", "done", "n", "blob"])
@@ -179,12 +205,12 @@ def _settle_contexts(base: DataFrame, length: int, gram: int, hot: int) -> DataF
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                h, c, p, lo, hi = anchors(np.frombuffer(raw, np.uint8), length, gram)
-                held.append([h, c, np.full(len(h), doc, np.int64), p, lo, hi])
+                h, c, k, p, lo, hi = anchors(np.frombuffer(raw, np.uint8), length, gram)
+                held.append([h, c, k, np.full(len(h), doc, np.int64), p, lo, hi])
                 n += len(h)
-            if n >= FLUSH:
-                yield from send(held, task)
-                held, n = [], 0
+                if n >= FLUSH:
+                    yield from send(held, task)
+                    held, n = [], 0
         if held:
             yield from send(held, task)
         del held
@@ -193,24 +219,24 @@ def _settle_contexts(base: DataFrame, length: int, gram: int, hot: int) -> DataF
     def settle(t: pa.Table) -> pa.Table:
         parts = [_unpack(r["blob"], r["n"]) for r in t.select(["n", "blob"]).filter(pa.compute.equal(t["done"], 0)).to_pylist()]
         done = [_unpack(r["blob"], r["n"]) for r in t.select(["n", "blob"]).filter(pa.compute.equal(t["done"], 1)).to_pylist()]
-        out = [_found(0, x[0], x[2], x[3], x[4], x[5]) for x in done]
+        out = [_found(0, x[0], *x[3:]) for x in done]
         if parts:
-            cols, first = _firsts([np.concatenate([x[i] for x in parts]) for i in range(6)])
+            cols, first = _firsts([np.concatenate([x[i] for x in parts]) for i in range(len(_COLUMNS))])
             h = cols[0]
             value = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
             contexts = np.bincount(value, weights=first).astype(np.int64)[value]
             kind = np.where(~first, 0, np.where(contexts > hot, 2, 1))
             say = ~first | (contexts > 1)
-            out.append(_found(kind[say], *[cols[i][say] for i in (0, 2, 3, 4, 5)]))
+            out.append(_found(kind[say], *[cols[i][say] for i in (0, 3, 4, 5, 6)]))
         return pa.concat_tables(out) if out else _found(0, *[np.zeros(0)] * 5)
 
     blobs = base.mapInArrow(gather, "bucket int, done int, n int, blob binary")
     return materialize(blobs.groupBy("bucket").applyInArrow(settle, FOUND), "found")
 
 
-def _hash_rows(x: np.ndarray, base: int = _B) -> np.ndarray:
+def _hash_rows(x: np.ndarray) -> np.ndarray:
     """(n, width + 1) prefix polynomial hashes of the rows of a byte matrix."""
-    up = _Powers(base).upto(x.shape[1] + 1)[0]
+    up = _POWERS.upto(x.shape[1] + 1)[0]
     out = np.zeros((len(x), x.shape[1] + 1), U)
     np.cumsum(_VALUE[x] * up[: x.shape[1]], axis=1, out=out[:, 1:])
     return out
@@ -382,22 +408,17 @@ def _sort_contexts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _hot_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of hot values, each window dealt by its own content."""
+    """Repeated windows of hot values, each window dealt by its own bytes, of which the first is an aggregate."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches):
-            for h, doc, p, lo, hi, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                data = np.frombuffer(raw, np.uint8)[None, :]
-                n = hi - lo + 1
-                keys = []
-                for base in (_B, _B2):
-                    pre, down = _hash_rows(data, base)[0], _Powers(base).upto(n + 1)[1]
-                    keys.append(mix((pre[length : length + n] - pre[:n]) * down[:n]).view(np.int64))
+            for doc, lo, hi, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 at = np.arange(lo, hi + 1, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, h, np.int64)), pa.array((p - at).astype(np.int32)), *map(pa.array, keys), pa.array(np.full(n, doc, np.int64)), pa.array(at)], names=["h", "back", "k1", "k2", "doc", "at"])
+                rows = [raw[i : i + length] for i in range(len(at))]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(np.full(len(at), doc, np.int64)), pa.array(at)], names=["bytes", "doc", "at"])
 
-    windows = materialize(contexts.select("h", "doc", "p", "lo", "hi", "raw").mapInArrow(explode, "h long, back int, k1 long, k2 long, doc long, at int"), "windows")
-    key = ["h", "back", "k1", "k2"]
+    windows = materialize(contexts.select("doc", "lo", "hi", "raw").mapInArrow(explode, "bytes binary, doc long, at int"), "windows")
+    key = ["bytes"]
     first = materialize(windows.groupBy(*key).agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     again = windows.join(first, key).filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     return again.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi"))
@@ -461,6 +482,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     Matches never cross texts. Null texts count as empty. Rows that repeat an id, and
     after all others rows without one, are ordered by a hash of their text, so of equal
     rows all but one are removed. An empty table gives no rows; extra columns are not read.
+    A text is never cut for good: anchors of one longer than ``STRETCH`` bytes are found
+    a stretch at a time, and its windows are those of the whole.
     """
     small_batches(docs.sparkSession)
     keyed, base = _keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", "_rid")
@@ -483,10 +506,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated strings taken out of the text; same columns and rows.
+    """``docs`` with repeated strings taken out of the text; same columns and rows, clashing names included.
 
     A character of which only some bytes go is dropped whole. ``chars_col``, where it
-    exists, is set to the new number of characters of changed texts.
+    exists, is set to the new number of characters of changed texts. Null texts stay
+    null; rows that repeat or lack an id are ordered as in ``repeats``; an empty table
+    gives no rows.
     """
     small_batches(docs.sparkSession)
     rid, key, marks_col = fresh(docs, "_rid", "_doc", "_spans")

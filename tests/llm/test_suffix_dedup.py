@@ -64,7 +64,7 @@ def test_anchors_depend_on_the_window_alone():
     found = []
     for pad in (0, 17, 250):
         text = np.concatenate([rng.integers(97, 123, pad).astype(np.uint8), passage, rng.integers(97, 123, 40).astype(np.uint8)])
-        h, c, p, lo, hi = sx.anchors(text)
+        h, c, k, p, lo, hi = sx.anchors(text)
         assert (lo[1:] == hi[:-1] + 1).all() and lo[0] == 0 and hi[-1] == len(text) - 100
         assert ((lo <= p) & (p + 32 <= lo + 100)).all() and (p >= hi).all()
         covered = {}
@@ -111,3 +111,35 @@ def test_stripped_texts(spark, odd, nothing):
     assert {r.doc_id: r.text for r in sx.strip_repeats(odd).collect()}[4] is None
     assert sx.strip_repeats(nothing).count() == 0
     assert collected(sx.strip_repeats(nothing)) == []
+
+
+def test_contexts_of_one_hash_stay_apart():
+    """Were the first hash of two contexts the same, the second would still part them."""
+    h, c = np.array([7, 7, 7], np.uint64), np.array([5, 5, 5], np.uint64)
+    k, doc, at = np.array([1, 2, 1], np.uint64), np.arange(3), np.zeros(3, np.int32)
+    cols, first = sx._firsts([h, c, k, doc, at, at, at])
+    assert cols[3].tolist() == [0, 2, 1] and first.tolist() == [True, False, True]
+    one, two = (np.frombuffer(prose(s, 40).encode(), np.uint8) for s in (1, 2))
+    assert not set(sx.anchors(one)[2].tolist()) & set(sx.anchors(two)[2].tolist())
+
+
+def test_stretches_of_a_long_text_have_its_windows():
+    data = np.frombuffer((prose(3, 300) + prose(3, 200)).encode(), np.uint8)
+    whole = sx.anchors(data)
+    for stretch in (1, 7, 150, 1000):
+        h, c, k, p, lo, hi = sx.anchors(data, stretch=stretch)
+        at = {i: (int(x), int(q)) for x, q, a, b in zip(h, p, lo, hi) for i in range(a, b + 1)}
+        assert len(at) == int((hi - lo + 1).sum()) == len(data) - 99
+        assert at == {i: (int(x), int(q)) for x, q, a, b in zip(whole[0], whole[3], whole[4], whole[5]) for i in range(a, b + 1)}
+
+
+def test_texts_of_megabytes(spark):
+    """Longer than a stretch: a second copy goes but for its first window's worth, a shared half goes, the rest stays."""
+    one, two = prose(1, 330_000), prose(2, 330_000)
+    texts = [one, two + one[: len(one) // 2], "short", one]
+    got = sorted(sx.repeats(frame(spark, texts)).collect(), key=lambda r: r.id)
+    half = len(one) // 2
+    alone = [sx.repeats(frame(spark, [t])).head().n_removed for t in (one, two)]
+    assert len(one) > 2 * sx.STRETCH
+    assert got[3].n_removed == len(one) and got[3].n_spans == 1
+    assert half <= got[1].n_removed <= half + alone[1] + 20_000 and got[0].n_removed == alone[0]
