@@ -199,7 +199,10 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "
     The fold of a row is crc32 of its id as text, modulo ``folds``; rows without an id
     are learnt from. Only text and non-null language are learnt from, only the text is
     predicted from. Nothing to learn from (or an empty table) makes all ``und``. Equal
-    texts get equal predictions; extra columns are not read.
+    texts get equal predictions; extra columns are not read. A text with a letter but
+    too short for an n-gram is like all languages, of which the first by name is given.
+    A text is never cut, however long. The prototypes, one vector for each language,
+    are broadcast: languages are taken to be thousands at most.
     """
     fold = crc_bucket(F.col(id_col), folds)
     profiles = fit(docs.filter(fold != held_out), text_col, lang_col)

@@ -54,3 +54,49 @@ def test_batches_that_need_too_large_a_matrix(monkeypatch):
 def test_bound_vectors_are_nearly_orthogonal():
     v = language.gram_vectors(np.array([[97, 98, 99], [99, 98, 97], [97, 98, 100]])).astype(int)
     assert (np.abs(v @ v.T / language.DIM - np.eye(3)) < 0.15).all()
+
+
+def plain_profiles(texts, langs, learn):
+    """Names and scores of all texts by loops over letters, with the operator's letter vectors alone."""
+
+    def bundled(t):
+        out, run = np.zeros(language.DIM), []
+        for c in [*(t or "").lower(), "\n"]:
+            if c.isalpha():
+                run.append(c)
+            elif run and run[-1] != " ":
+                run.append(" ")
+        for i in range(len(run) - 2):
+            v = np.ones(language.DIM)
+            for k in range(3):
+                v *= np.roll(language.letter_vectors(np.array([ord(run[i + k])], np.uint32))[0], k)
+            out += v
+        return out, any(c.isalpha() for c in t or "")
+
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    made = [bundled(t) for t in texts]
+    sums = {}
+    for (v, has), g, use in zip(made, langs, learn):
+        if use and g is not None and has:
+            sums[g] = sums.get(g, 0) + unit(v)
+    names = sorted(sums)
+    vectors = [unit(sums[n]) for n in names]
+    common = np.mean(vectors, axis=0)
+    vectors = [unit(v - common) for v in vectors]
+    out = []
+    for v, has in made:
+        cos = np.array([unit(unit(v) - common) @ w for w in vectors])
+        e = np.exp(language.SHARP * (cos - cos.max()))
+        out.append((names[int(cos.argmax())], 1 / e.sum()) if has else ("und", 0.0))
+    return out
+
+
+def test_predictions_against_plain_python(spark):
+    langs = [[*SYLLABLES, None][i % 4] for i in range(90)]
+    texts = [text(g or "aa", i, 3 + i % 30) for i, g in enumerate(langs)] + ["", None, "42 !", "x", "Ünï ção", "ka lo sch ung"]
+    langs += ["aa", "bb", "cc", "aa", None, "bb"]
+    want = plain_profiles(texts, langs, [zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(texts))])
+    got = {r.id: r for r in language.identify(frame(spark, texts, langs=langs)).collect()}
+    for i, (name, score) in enumerate(want):
+        assert (got[i].lang_pred, round(got[i].score, 6)) == (name, round(score, 6)), texts[i]
+
