@@ -6,7 +6,7 @@ Missing or unparseable numbers count as 0, as the fixed output names suggest; wi
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -67,55 +67,65 @@ def running_count(df: DataFrame, field: str, order, partition_by: Sequence[str]
     """
     needed(order)
     v = F.coalesce(get(df, field, str), F.lit("<nil>"))
+    if partition_by and with_map:
+        added = [T.StructField("total_count", T.LongType()), T.StructField("distinct_values", T.LongType()), T.StructField("distinct_counts", T.MapType(T.StringType(), T.LongType()))]
+        return _by_key(df.withColumn("_v", v), order, partition_by, added, _tallies)
     out = numbered(df.withColumn("_v", v), order, "total_count", partition_by)
     lead = keys(order)
     mine = Window.partitionBy(*partition_by, "_v").orderBy(*sort_columns(order))
     out = out.withColumn("_nth", F.row_number().over(mine).cast("long"))
     out = carried(out, lead, {"distinct_values": ("sum", F.when(F.col("_nth") == 1, 1).otherwise(0).cast("long"))}, partition_by)
     if with_map:
-        out = _maps(out, partition_by)
+        out = _maps(out)
     return out.drop("_v", "_nth")
 
 
+def _tallies(values: list[list], state: dict | None) -> tuple[list[pa.Array], dict]:
+    """Counts so far, after each value of each run; the first run goes on from ``state``, the others are new keys."""
+    totals, sizes, offsets, keys_, counts = [], [], [0], [], []
+    for i, run in enumerate(values):
+        now = state if i == 0 and state is not None else {}
+        total = sum(now.values())
+        for v in run:
+            now[v] = now.get(v, 0) + 1
+            total += 1
+            totals.append(total)
+            sizes.append(len(now))
+            keys_.extend(now)
+            counts.extend(now.values())
+            offsets.append(len(keys_))
+    maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys_, pa.string()), pa.array(counts, pa.int64()))
+    return [pa.array(totals, pa.int64()), pa.array(sizes, pa.int64()), maps], now
+
+
 #: Neighbouring rows of a key whose maps are made together, from one map of what lies before them.
-STRETCH = 256
+STRETCH = 8192
 
 
-def _maps(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+def _maps(df: DataFrame) -> DataFrame:
     """Adds ``distinct_counts``: what earlier stretches of rows counted, and what the row's own stretch has so far.
 
     Counts by stretch and value are summed along the stretches in one window by
-    value. A stretch gets the last sum of each value before it and is one group of at
-    most ``STRETCH`` rows.
+    value. A stretch gets the last count of each value before it and is one group of
+    at most ``STRETCH`` rows.
     """
-    by = [F.col(f"`{p}`") for p in partition_by]
     rows = df.withColumn("_stretch", F.floor((F.col("total_count") - 1) / STRETCH))
     # a value's count before a stretch changes only after a stretch that holds it
-    sums = rows.groupBy(*by, "_stretch", "_v").agg(F.max("_nth").alias("_c"))
-    values = Window.partitionBy(*by, "_v").orderBy("_stretch")
-    sums = sums.withColumn("_until", F.lead("_stretch").over(values))
-    names = {p: f"_k{i}" for i, p in enumerate(partition_by)}
-    same = F.lit(True)
-    for p, n in names.items():
-        same = same & F.col(f"`{p}`").eqNullSafe(F.col(n))
-    if names:
-        last = rows.groupBy(*by).agg(F.max("_stretch").alias("_last")).select(*[F.col(f"`{p}`").alias(n) for p, n in names.items()], "_last")
-        sums = sums.join(last, same).drop(*names.values())
-    else:
-        sums = sums.withColumn("_last", F.lit(rows.agg(F.max("_stretch")).head()[0]))
-    upto = F.coalesce(F.col("_until"), F.col("_last"))
-    spread = sums.filter(F.col("_stretch") < upto).select(*by, F.explode(F.sequence(F.col("_stretch") + 1, upto)).alias("_stretch"), "_v", "_c")
-    before = spread.groupBy(*by, "_stretch").agg(F.map_from_entries(F.collect_list(F.struct("_v", "_c"))).alias("_before"))
-    before = before.select(*[F.col(f"`{p}`").alias(n) for p, n in names.items()], F.col("_stretch").alias("_s"), "_before")
-    joined = rows.join(before, same & (F.col("_stretch") == F.col("_s")), "left").drop(*names.values(), "_s")
-    so_far = Window.partitionBy(*by, "_stretch").orderBy("total_count").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = joined.withColumn("_own", F.collect_list(F.struct("_v", "_nth")).over(so_far))
-    # the last number of each value in the stretch so far is its count
-    own = F.aggregate("_own", F.create_map().cast("map<string,bigint>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["_v"]), F.create_map(x["_v"], x["_nth"])))
-    past = F.coalesce(F.col("_before"), F.create_map().cast("map<string,bigint>"))
-    joined = joined.withColumn("_now", own)
-    merged = F.map_concat(F.map_filter(past, lambda k, _: ~F.array_contains(F.map_keys("_now"), k)), F.col("_now"))
-    return joined.withColumn("distinct_counts", merged).drop("_stretch", "_before", "_own", "_now")
+    values = Window.partitionBy("_v").orderBy("_stretch")
+    last = rows.agg(F.max("_stretch")).head()[0]
+    sums = rows.groupBy("_stretch", "_v").agg(F.max("_nth").alias("_c"))
+    sums = sums.withColumn("_until", F.coalesce(F.lead("_stretch").over(values), F.lit(last))).filter(F.col("_stretch") < F.col("_until"))
+    spread = F.explode(F.sequence(F.col("_stretch") + 1, F.col("_until")))
+    before = sums.select(spread.alias("_s"), F.col("_v").alias("_past"), F.col("_c").alias("_times"))
+    schema = T.StructType([*df.schema.fields, T.StructField("distinct_counts", T.MapType(T.StringType(), T.LongType()))])
+
+    def count(here: pa.Table, past: pa.Table) -> pa.Table:
+        here = here.sort_by("total_count")
+        now = dict(zip(past["_past"].to_pylist(), past["_times"].to_pylist(), strict=True)) if past.num_rows else {}
+        made, _ = _tallies([here["_v"].to_pylist()], now)
+        return here.drop_columns(["_stretch"]).append_column("distinct_counts", made[2])
+
+    return rows.groupBy("_stretch").cogroup(before.groupBy("_s")).applyInArrow(count, schema)
 
 
 def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +140,14 @@ def exponential_moving_average(df: DataFrame, field: str, alpha: float, order, p
     fields = [f for f in base.schema.fields if f.name != "_v"]
     added = [T.StructField("ema", T.DoubleType()), T.StructField("alpha", T.DoubleType())]
     if partition_by:
-        return _ema_by_key(base, alpha, order, partition_by, T.StructType([*fields, *added]))
+
+        def averages(values: list[list], now: float | None) -> tuple[list[pa.Array], float]:
+            out: list[float] = []
+            for i, run in enumerate(values):
+                out.extend(_ema(run, alpha, now if i == 0 else None))
+            return [pa.array(out, pa.float64()), pa.array(np.full(len(out), alpha))], out[-1]
+
+        return _by_key(base, order, partition_by, added, averages)
     n = numbered(base, order, "_n")
     r = ranged(n, order)
     # a range's own part: sum of weight * (1 - alpha) ** (rows after it in the range)
@@ -157,28 +174,31 @@ def _ema(values, alpha: float, now: float | None) -> Iterator[float]:
         yield now
 
 
-def _ema_by_key(df: DataFrame, alpha: float, order, partition_by: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Keys stream one after the other, rows in order; what is held is the last average of the key at hand."""
+def _by_key(df: DataFrame, order, partition_by: Sequence[str], added: list[T.StructField], work: Callable[[list[list], object], tuple[list[pa.Array], object]]) -> DataFrame:
+    """Keys stream one after the other, rows in order; what is held is the state of the key at hand.
+
+    ``work(values, state)`` takes the values ``_v`` of a batch, a list for each key, and
+    the state in which the first of them is (None: a new key); it gives the ``added``
+    columns and the state of the last.
+    """
     by = [F.col(f"`{p}`") for p in partition_by]
     dealt = df.repartition(*by).sortWithinPartitions(*by, *sort_columns(order))
     at, value = [df.columns.index(p) for p in partition_by], df.columns.index("_v")
+    schema = T.StructType([f for f in df.schema.fields if f.name != "_v"] + added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, now = None, None
+        last, state = None, None
         for b in batches:
             n = b.num_rows
             if not n:
                 continue
             ends = _turns([b.column(i) for i in at])
-            v, out = b.column(value).to_numpy(zero_copy_only=False), np.empty(n)
-            for lo, hi in zip([0, *ends], [*ends, n], strict=True):
-                key = [b.column(i)[lo].as_py() for i in at]
-                if key != last:
-                    last, now = key, None
-                out[lo:hi] = list(_ema(v[lo:hi].tolist(), alpha, now))
-                now = float(out[hi - 1])
+            first, final = ([b.column(i)[row].as_py() for i in at] for row in (0, n - 1))
+            v = b.column(value).to_pylist()
+            made, state = work([v[lo:hi] for lo, hi in zip([0, *ends], [*ends, n], strict=True)], state if first == last else None)
+            last = final
             rest = [b.column(i) for i in range(b.num_columns) if i != value]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(out), pa.array(np.full(n, alpha))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*rest, *made], names=schema.names)
 
     return dealt.mapInArrow(run, schema)
 
