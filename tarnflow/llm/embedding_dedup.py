@@ -26,13 +26,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, materialize
 from .components import components
-from .simhash_dedup import _merge, _settle
+from .forest import merge, settle
 
-#: Vectors per list aimed at, lists at most, lists probed, vectors per list in the sample.
-LIST, LISTS, PROBES, PER_LIST = 128, 4096, 16, 64
+#: Vectors per list aimed at, lists for each root of the number of vectors, lists probed, vectors per list in the
+#: sample and in all of it.
+LIST, ROOTS, PROBES, PER_LIST, SAMPLE = 128, 4, 16, 64, 1 << 18
 #: Subspaces and codes in each.
 PARTS, CODES = 8, 256
 #: Members and queries of a block.
@@ -106,6 +108,7 @@ class Quantizer:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square of a component is too large or too small
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -123,14 +126,23 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.coalesce(some, F.lit(False)))
 
 
-def _links(points: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
-    """Distinct ``points(rep, mult, v)`` of one dimension to ``(kind, a, b)``.
+def lists_for(n: int) -> int:
+    """Inverted lists for ``n`` vectors: of about ``LIST`` vectors, but no more than ``ROOTS`` times the root of ``n``.
+
+    So lists and their length both grow, and a vector meets about ``PROBES / ROOTS``
+    times the root of ``n`` others.
+    """
+    return max(1, min(n // LIST, int(ROOTS * n**0.5)))
+
+
+def _links(points: DataFrame, n: int, dim: int, threshold: float, kind: str) -> DataFrame:
+    """Distinct ``points(rep, mult, v)`` of one dimension to ``(kind, a, b)``; vectors travel as numbers of ``kind``, which holds them exactly.
 
     Kind 0: vector ``a`` has ``b`` more linked vectors (copies counted); kind 1: ``a``
     and ``b`` are connected.
     """
-    lists = int(min(LISTS, max(1, n // LIST)))
-    bound = lists * PER_LIST if lists > 1 else 4 * LIST
+    lists = lists_for(n)
+    bound = min(SAMPLE, lists * PER_LIST) if lists > 1 else 4 * LIST
     share = min(1.0, 1.2 * bound / n)
     drawn = points if share >= 1 else points.filter(F.xxhash64(F.lit(11), "rep") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1024))))
     sample = drawn.select("rep", "v").orderBy(F.xxhash64(F.lit(11), "rep")).limit(bound).toArrow()
@@ -138,9 +150,9 @@ def _links(points: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in cut(batches, 4096):
-            x = _unit(_matrix(b.column(2)))
-            probes, codes, off = q.encode(x)
-            cols = [b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(probes), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)]
+            v = _matrix(b.column(2))
+            probes, codes, off = q.encode(_unit(v))
+            cols = [b.column(0), b.column(1), pa.array([r.tobytes() for r in v.astype(kind)], pa.binary()), pa.array(list(probes), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off)]
             yield pa.RecordBatch.from_arrays(cols, names=["rep", "mult", "x", "probes", "codes", "off"])
 
     indexed = materialize(points.select("rep", "mult", "v").mapInArrow(index, "rep long, mult long, x binary, probes array<int>, codes binary, off double"), "index")
@@ -181,8 +193,7 @@ def _links(points: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
         y, x = pdf[pdf.role == 0], pdf[pdf.role == 1]
         if not len(x) or not len(y):
             return pd.DataFrame({"kind": [], "a": [], "b": []}).astype("int64")
-        yv = np.frombuffer(b"".join(y.x), np.float64).reshape(len(y), dim)
-        xv = np.frombuffer(b"".join(x.x), np.float64).reshape(len(x), dim)
+        yv, xv = (_unit(np.frombuffer(b"".join(s.x), kind).astype(np.float64).reshape(len(s), dim)) for s in (y, x))
         yc = np.frombuffer(b"".join(y.codes), np.uint8).reshape(len(y), -1)
         near = np.sqrt(q.approximate(xv, list_, yc)) - y.off.to_numpy()[None, :] <= far
         i, j = np.nonzero(near)
@@ -205,8 +216,8 @@ def _links(points: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
         for_y = np.bincount(j[alone], weights=xm[i[alone]], minlength=len(y)).astype(np.int64)
         ids, place = np.unique(np.concatenate([xr, yr]), return_inverse=True)
         heads = np.arange(len(ids))
-        _merge(heads, place[i], place[len(x) + j])
-        heads = _settle(heads)
+        merge(heads, place[i], place[len(x) + j])
+        heads = settle(heads)
         tied = np.flatnonzero(heads != np.arange(len(ids)))
         fx, fy = for_x > 0, for_y > 0
         return pd.DataFrame(
@@ -236,9 +247,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     points = usable(vectors, id_col, vec_col).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult"))
     points = materialize(points, "points")
     sizes = points.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()
+    kind = "<f4" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType()) or vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), False) else "<f8"
     found = None
     for r in sorted(sizes):
-        part = _links(points.filter(F.size("v") == r.dim), r.n, r.dim, threshold)
+        part = _links(points.filter(F.size("v") == r.dim), r.n, r.dim, threshold, kind)
         found = part if found is None else found.unionByName(part)
     spark = vectors.sparkSession
     if found is None:

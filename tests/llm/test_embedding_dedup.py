@@ -89,9 +89,23 @@ def test_recall_on_the_test_table(spark):
     assert got >= 0.9 * links and got <= links
 
 
-def test_recall_of_planted_links_among_many_lists(spark):
+def test_extreme_numbers(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e300, 0.0]), (4, [5e-324, 0.0]), (5, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ed.near_vectors(df).collect())) == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5)]
+
+
+def test_lists_grow_with_the_vectors():
+    n = [10**k for k in range(1, 10)]
+    lists = [ed.lists_for(x) for x in n]
+    assert lists == sorted(lists) and lists[0] == 1 and lists[-1] > 100_000
+    assert all(x / k <= 256 or x / k <= x**0.5 for x, k in zip(n, lists) if k > 1)
+
+
+@pytest.mark.parametrize("size", [4_000, 40_000])
+def test_recall_of_planted_links_among_many_lists(spark, size):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(40_000, 64))
+    x = rng.normal(size=(size, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     side = rng.normal(size=(500, 64))
     side -= (side * x[:500]).sum(axis=1, keepdims=True) * x[:500]
@@ -99,6 +113,7 @@ def test_recall_of_planted_links_among_many_lists(spark):
     cos = rng.uniform(0.905, 0.95, (500, 1))
     y = np.concatenate([x, cos * x[:500] + np.sqrt(1 - cos**2) * side])
     df = spark.createDataFrame([(i, v) for i, v in enumerate(y.tolist())], "vec_id long, embedding array<double>")
-    got = ed.near_vectors(df, threshold=0.9).groupBy().sum("n_links").head()[0]
-    print("recall", got / 1000)
-    assert 900 <= got <= 1000
+    got = {r.id: (r.n_links, r.component) for r in ed.near_vectors(df, threshold=0.9).collect()}
+    right = sum(got[i] == got[size + i] == (1, i) for i in range(500))
+    assert right >= 450
+    assert all(got[i] == (0, i) for i in range(500, size))  # no false link
