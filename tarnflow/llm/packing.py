@@ -14,7 +14,7 @@ need no padding.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,22 +35,73 @@ WINDOW = 4 << 20
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 1024
+    segments: int = 4096
     loss: int = 4096
 
 
+class _Line:
+    """Classes whose tokens all bear loss, as sorted sizes: a larger one has the larger dot product with any room."""
+
+    def __init__(self):
+        self.sizes: list[int] = []
+
+    def add(self, tokens: int, loss: int) -> None:
+        insort(self.sizes, tokens)
+
+    def drop(self, tokens: int, loss: int) -> None:
+        del self.sizes[bisect_left(self.sizes, tokens)]
+
+    def best(self, left: tuple[int, int, int]) -> tuple[int, int, bool]:
+        at = bisect_right(self.sizes, left[0])
+        n = self.sizes[at - 1]  # the largest of all where none fits
+        return n, n, at > 0
+
+
+class _Table:
+    """Any classes, as rows of needs; all are scored at once."""
+
+    def __init__(self, limits: Limits):
+        self.full = np.array([limits.tokens, limits.segments, limits.loss], float)
+        self.need = np.zeros((64, 3))
+        self.live = np.zeros(64, bool)
+        self.row: dict[tuple[int, int], int] = {}
+        self.free = list(range(63, -1, -1))
+
+    def add(self, tokens: int, loss: int) -> None:
+        if not self.free:
+            n = len(self.live)
+            self.need, self.live = np.vstack([self.need, np.zeros((n, 3))]), np.append(self.live, np.zeros(n, bool))
+            self.free = list(range(2 * n - 1, n - 1, -1))
+        i = self.row[tokens, loss] = self.free.pop()
+        self.need[i], self.live[i] = (tokens, 1, loss), True
+
+    def drop(self, tokens: int, loss: int) -> None:
+        i = self.row.pop((tokens, loss))
+        self.live[i] = False
+        self.free.append(i)
+
+    def best(self, left: tuple[int, int, int]) -> tuple[int, int, bool]:
+        score = (self.need / self.full) @ (np.array(left) / self.full)
+        fits = self.live & (self.need <= left).all(axis=1)
+        found = bool(fits.any())
+        i = int(np.argmax(np.where(fits if found else self.live, score, -1.0)))
+        return int(self.need[i, 0]), int(self.need[i, 2]), found
+
+
 class Packer:
     """Fills sequences from examples added one by one. ``take`` gives the pieces of full sequences.
 
     An example is ``(key, tokens, loss)``: its last ``loss`` tokens bear loss. A
-    piece is ``(key, start, length, sequence, offset)``.
+    piece is ``(key, start, length, sequence, offset)``. Classes of equal needs are
+    kept from sequence to sequence.
     """
 
     def __init__(self, limits: Limits, cut: bool):
         if min(limits.tokens, limits.segments, limits.loss) < 1:
             raise ValueError("limits must be at least 1")
         self.limits, self.cut = limits, cut
-        self.waiting: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        self.waiting: dict[tuple[int, int], list[tuple]] = {}
+        self.classes: _Line | _Table = _Line() if limits.loss >= limits.tokens else _Table(limits)
         self.tokens = 0
         self.sequence = 0
 
@@ -63,7 +114,15 @@ class Packer:
             self._put(key, 0, tokens, loss)
 
     def _put(self, key, start: int, tokens: int, loss: int) -> None:
-        self.waiting[tokens, loss].append((key, start))
+        if loss < tokens and isinstance(self.classes, _Line):
+            self.classes = _Table(self.limits)
+            for c in self.waiting:
+                self.classes.add(*c)
+        held = self.waiting.get((tokens, loss))
+        if held is None:
+            held = self.waiting[tokens, loss] = []
+            self.classes.add(tokens, loss)
+        held.append((key, start))
         self.tokens += tokens
 
     def take(self, all_: bool = False) -> Iterator[tuple]:
@@ -75,57 +134,31 @@ class Packer:
             yield from self._fill(room)
 
     def _fill(self, room: int) -> Iterator[tuple]:
-        left = np.array([room, self.limits.segments, self.limits.loss], float)
-        full = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], float)
+        left = (room, self.limits.segments, self.limits.loss)
         offset = 0
-        classes = list(self.waiting)
-        need = np.array([(t, 1, s) for t, s in classes], float)
-        while left[0] > 0 and left[1] > 0 and len(classes):
-            fits = (need <= left).all(axis=1)
-            score = (need / full) @ (left / full)
-            if fits.any():
-                i = int(np.argmax(np.where(fits, score, -1.0)))
-                tokens, loss = classes[i]
-                key, start = self._pop(i, classes)
-                if classes[i] not in self.waiting:
-                    need[i] = np.inf
-                yield key, start, tokens, self.sequence, offset
-            elif self.cut:
-                live = np.isfinite(need[:, 0])
-                if not live.any():
-                    break
-                i = int(np.argmax(np.where(live, np.where(np.isfinite(score), score, -1.0), -1.0)))
-                tokens, loss = classes[i]
-                size = int(min(left[0], tokens, tokens - loss + left[2]))
-                if size <= 0:
+        while left[0] > 0 and left[1] > 0 and self.waiting:
+            tokens, loss, fits = self.classes.best(left)
+            size, rest_loss = tokens, 0
+            if not fits:
+                size = min(left[0], tokens, tokens - loss + left[2])
+                if not self.cut or size <= 0:
                     break
-                key, start = self._pop(i, classes)
-                if classes[i] not in self.waiting:
-                    need[i] = np.inf
-                rest = tokens - size
-                rest_loss = min(loss, rest)
-                if rest:
-                    self._put(key, start + size, rest, rest_loss)
-                    if (rest, rest_loss) not in classes:
-                        classes.append((rest, rest_loss))
-                        need = np.vstack([need, [rest, 1, rest_loss]])
-                    else:
-                        need[classes.index((rest, rest_loss))] = (rest, 1, rest_loss)
-                yield key, start, size, self.sequence, offset
-                tokens, loss = size, loss - rest_loss
-            else:
-                break
-            offset += tokens
-            left -= (tokens, 1, loss)
+                rest_loss = min(loss, tokens - size)
+            key, start = self._pop(tokens, loss)
+            if size < tokens:
+                self._put(key, start + size, tokens - size, rest_loss)
+            yield key, start, size, self.sequence, offset
+            offset += size
+            left = (left[0] - size, left[1] - 1, left[2] - (loss - rest_loss))
         self.sequence += 1
 
-    def _pop(self, i: int, classes: list) -> tuple:
-        c = classes[i]
-        held = self.waiting[c]
+    def _pop(self, tokens: int, loss: int) -> tuple:
+        held = self.waiting[tokens, loss]
         key, start = held.pop()
         if not held:
-            del self.waiting[c]
-        self.tokens -= c[0]
+            del self.waiting[tokens, loss]
+            self.classes.drop(tokens, loss)
+        self.tokens -= tokens
         return key, start
 
 
@@ -137,7 +170,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, limits: Lim
     documents, a window at a time, in the order they come; ``sequence_id`` is the
     task's number shifted by 40 bits plus a count, so a task that is run again gives
     the same. Rows without an id and rows that repeat one are packed like others. An
-    empty table gives no rows. Extra columns are not read. ``pieces`` bounds the
+    empty table gives no rows. Extra columns are not read. A long text is encoded whole
+    and cut only where sequences end. ``pieces`` bounds the
     encoder's table and has it dropped after each task, where other stages need a
     worker's memory too.
     """
@@ -186,7 +220,8 @@ def pack_examples(examples: DataFrame, limits: Limits, cut: bool = False, key: s
 
     For instruction data: the last ``loss`` of an example's ``tokens`` bear loss, and
     without ``cut`` every example stays whole (one that exceeds a limit raises). Null
-    counts are 0; examples without tokens get no piece.
+    counts are 0; examples without tokens get no piece. Repeated and null keys are
+    examples like others, an empty table gives no rows, extra columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,6 +86,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 0, pl
 
     Rows without an id come last; rows that repeat an id follow one another by a
     hash of their texts. An empty table writes no record. Extra columns are not read.
+    A text is encoded whole, however long. As the order is by id, all rows without one,
+    or with one and the same, are one range and stream through one task.
     """
     if plane not in ("bit", "byte"):
         raise ValueError("plane must be 'bit' or 'byte'")

@@ -10,8 +10,6 @@ whole.
 from __future__ import annotations
 
 import json
-from collections import defaultdict
-from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -23,6 +21,34 @@ JOINED = 256
 SEPARATOR = "\x01"
 
 
+class _Numbers(dict):
+    """Pieces numbered in the order they are first looked up; ``fresh`` are those not learnt yet."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.fresh.append(piece)
+        return n
+
+
+class _Grown:
+    """An array that grows at its end, in place as long as there is room."""
+
+    def __init__(self, dtype):
+        self.held, self.size = np.zeros(1 << 12, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        n = self.size + len(x)
+        if n > len(self.held):
+            held = np.zeros(max(n, len(self.held) * 3 // 2), self.held.dtype)
+            held[: self.size] = self.held[: self.size]
+            self.held = held
+        self.held[self.size : n] = x
+        self.size = n
+
+
 class Encoder:
     """``encode(texts)`` gives all ids in one array, and how many each text has."""
 
@@ -30,7 +56,8 @@ class Encoder:
         self.pieces = PIECES if pieces is None else pieces
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.kind = _kind(json.load(f))
+            spec = json.load(f)
+        self.kind = _kind(spec)
         self.top = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.uint16 if self.top <= 1 << 16 else np.uint32
         if self.kind == "led":
@@ -38,6 +65,9 @@ class Encoder:
             for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
                 self.leads[i] = token.startswith(("Ġ", "Ċ"))
         elif self.kind == "words":
+            self.lower = any(n.get("type") == "Lowercase" for n in _norms(spec))
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
             ids = self._plain(SEPARATOR)
             self.separator = ids[0] if len(ids) == 1 else None
             if self.separator is None:
@@ -45,11 +75,8 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict()
-        self.number.default_factory = self.number.__len__
-        self.flat = np.zeros(0, self.dtype)
-        self.offset = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        self.number = _Numbers()
+        self.flat, self.offset, self.length = _Grown(self.dtype), _Grown(np.int64), _Grown(np.int64)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -63,18 +90,19 @@ class Encoder:
             self._reset()
         index: list[int] = []
         pieces_of = np.zeros(len(texts), np.int64)
-        known, lookup = len(self.number), self.number.__getitem__
+        lookup = self.number.__getitem__
         for n, text in enumerate(texts):
             keys = self._keys(text)
             pieces_of[n] = len(keys)
             index.extend(map(lookup, keys))
-        if len(self.number) > known:
-            self._learn(list(islice(self.number, known, None)))
+        if self.number.fresh:
+            self._learn(self.number.fresh)
+            self.number.fresh = []
         at = np.array(index, np.int64)
-        lens = self.length[at]
+        lens = self.length.held[at]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.offset[at] - (ends - lens), lens) + np.arange(total)] if total else np.zeros(0, self.dtype)
+        ids = self.flat.held[np.repeat(self.offset.held[at] - (ends - lens), lens) + np.arange(total)] if total else np.zeros(0, self.dtype)
         upto = np.concatenate([[0], ends])[np.cumsum(pieces_of)] if len(texts) else np.zeros(0, np.int64)
         return ids, np.diff(np.concatenate([[0], upto]))
 
@@ -88,7 +116,9 @@ class Encoder:
         if "\x00" in text or SEPARATOR in text or "<|" in text:
             return ["\x00" + text]
         if self.kind == "words":
-            return text.encode().lower().decode().replace("\n", " ").split(" ")
+            if self.lower:
+                text = text.lower() if text.isascii() else text.encode().lower().decode()
+            return text.replace("\n", " ").split(" ")
         if not _calm(text):
             return ["\x00" + text]
         pieces = text.replace("\n", " \n").split(" ")
@@ -113,9 +143,9 @@ class Encoder:
         offset[~whole] = np.cumsum(n) - n
         w = length[whole]
         offset[whole] = n.sum() + np.cumsum(w) - w
-        self.offset = np.concatenate([self.offset, len(self.flat) + offset])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, *ids, *alone])
+        self.offset.add(self.flat.size + offset)
+        self.length.add(length)
+        self.flat.add(np.concatenate([*ids, *alone]))
 
     def _chunk(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, from one text that holds them, and how many each has."""
@@ -127,7 +157,8 @@ class Encoder:
                 return ids, np.diff(np.append(cuts, len(ids)))
         else:
             text = f" {SEPARATOR} ".join(pieces)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            plain = max(text, default=" ") < "\u0300" and (not self.lower or text == text.lower())  # normalizing changes nothing
+            ids = np.array((self.bare if plain else self.tokenizer).encode(text, add_special_tokens=False).ids, self.dtype)
             mark = ids == self.separator
             cuts = np.flatnonzero(mark)
             if len(cuts) == len(pieces) - 1:
@@ -154,11 +185,15 @@ def _regex(step: dict) -> str:
     return (step.get("pattern") or {}).get("Regex", "")
 
 
+def _norms(spec: dict) -> list[dict]:
+    norm = spec.get("normalizer")
+    return [] if norm is None else norm.get("normalizers", [norm])
+
+
 def _kind(spec: dict) -> str:
     """``led`` (a space belongs to the word after it), ``words`` (spaces are dropped) or ``whole``."""
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    pre, norms = spec.get("pre_tokenizer") or {}, _norms(spec)
     steps = pre.get("pretokenizers", [pre])
-    norms = [] if norm is None else norm.get("normalizers", [norm])
     added = [a for a in spec.get("added_tokens", []) if a.get("lstrip") or a.get("rstrip") or a.get("single_word") or " " in a["content"]]
     if added or (spec.get("model") or {}).get("type") != "BPE" or spec["model"].get("dropout"):
         return "whole"
