@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__
-from llm_helpers import prose
+from llm_helpers import frame, prose
 from tarnflow.llm import queries
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -69,6 +69,28 @@ def test_run(spark, small):
     assert rows and not {r.doc_id for r in rows} & {i for i, t in enumerate(toxic) if t}
 
 
+def test_odd_rows_go_through(spark, tmp_path):
+    """Repeated and missing ids, null and empty texts, null sources and columns of clashing names, from stage to stage."""
+    texts = [prose(i, 40) for i in range(30)] + [prose(3, 40), prose(4, 40) + " end", None, "", "x", prose(50, 60), prose(51, 60), prose(50, 60)]
+    ids = [*range(30), 3, 90, 91, 92, 92, None, None, 7]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = frame(spark, texts, ids=ids)
+    seen = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = docs.select("doc_id", "text", "label").collect()
+        assert {r.label for r in seen[name]} == {"?"}
+    assert len(seen["toxicity"]) == len(texts)
+    kept = sorted((r.text or "" for r in seen["simhash_dedup"]))
+    # copies go, the near copy goes, of the three without five words the null and the empty one are alike
+    assert kept == sorted([*(prose(i, 40) for i in range(30)), "", "x", prose(51, 60), prose(50, 60)])
+    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
 def test_an_empty_table_goes_through(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
