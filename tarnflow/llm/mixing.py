@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from .common import cut, fresh, materialize, small_batches, texts
 
 #: Words of a source's budget that the exact knapsack covers at once; what a budget has beyond is taken greedily first.
@@ -38,28 +39,31 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col).cast("long"), F.col(source_col).cast("string"), text_col).mapInArrow(run, "id long, source string, size long")
 
 
-def targets(sizes: pd.DataFrame, weights: list[float], cap: float) -> pd.DataFrame:
-    """``sizes(source, source_size)`` with ``target``: shares of the total by weight, none above ``cap`` times its size.
+def targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
+    """``sizes(source, source_size)`` with ``target double``: shares of the total by weight, none above ``cap`` times its size.
 
     Sources take the weights in turn by code point of their name, null last. The
-    excess of those above their cap is shared among the others until none is above.
+    excess of those above their cap is shared among the others until none is above:
+    a share is ``level`` times the weight, and the level only rises, so each round is
+    one sum over the sources. Sources may be as many as they like; two numbers a
+    round reach the driver.
     """
-    names = sorted(sizes.source, key=lambda s: (s is None, "" if s is None else s))
-    by = dict(zip(sizes.source, sizes.source_size, strict=True))
-    size = np.array([by[s] for s in names], float)
-    weight = np.array([weights[i % len(weights)] for i in range(len(names))], float)
-    target, open_ = np.zeros(len(names)), size > 0
-    left = size.sum()
-    while open_.any():
-        share = left * weight / weight[open_].sum()
-        above = open_ & (share > cap * size)
-        if not above.any():
-            target[open_] = share[open_]
+    named = numbered(sizes.filter("source is not null"), "source", "place")
+    last = sizes.filter("source is null").withColumn("place", F.lit(sizes.filter("source is not null").count() + 1).cast("long"))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
+    plan = named.unionByName(last).withColumn("weight", turn)
+    plan = materialize(plan.withColumn("edge", F.when(F.col("source_size") > 0, F.col("source_size") * float(cap) / F.col("weight"))), "sources")
+    total = plan.agg(F.sum("source_size")).head()[0] or 0
+    level, known = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.col("edge") < level
+        got = plan.filter("edge is not null").agg(F.sum(F.when(above, F.col("source_size")).otherwise(0)).alias("held"), F.sum(F.when(above, 0.0).otherwise(F.col("weight"))).alias("open"), F.sum(F.when(above, 1).otherwise(0)).alias("n")).head()
+        if got.n == known or not got.open:
             break
-        target[above] = cap * size[above]
-        left -= target[above].sum()
-        open_ &= ~above
-    return pd.DataFrame({"source": names, "source_size": size.astype("int64"), "target": target})
+        level, known = (total - cap * got.held) / got.open, got.n
+    full = F.col("source_size") * float(cap)
+    share = full if level is None or not got.open else F.when(F.col("edge") < level, full).otherwise(F.col("weight") * level)
+    return plan.select("source", "source_size", F.when(F.col("edge").isNull(), 0.0).otherwise(share).cast("double").alias("target"))
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT_WORDS) -> np.ndarray:
@@ -126,16 +130,13 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: i
     source that is null is a source. An empty table gives no rows. Extra columns are
     not read.
 
-    One row per source reaches the driver (the catalogue of sources); its counts by
-    length are fitted by the executors, a source at a time.
+    The counts by length are fitted by the executors, a source at a time. A text is
+    never cut, however long.
     """
-    spark = docs.sparkSession
     sized = materialize(word_counts(docs, id_col, text_col, source_col), "sizes")
     lengths = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
-    per_source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).toPandas()
-    per_source["source"] = [None if x is None or x != x else x for x in per_source.source]
-    goal = targets(per_source, list(weights), cap)
-    plan = spark.createDataFrame(list(goal.itertuples(index=False, name=None)), "source string, source_size long, target double")
+    per_source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    plan = targets(materialize(per_source, "per_source"), list(weights), cap)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size").reset_index(drop=True)
@@ -145,7 +146,8 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: i
         extra = fit_counts(pdf["size"].to_numpy(), pdf.n.to_numpy(), budget if base < cap else 0)
         return pdf.assign(base=base, extra=extra)[["source", "size", "n", "source_size", "target", "base", "extra"]]
 
-    fitted = lengths.join(F.broadcast(plan), lengths.source.eqNullSafe(plan.source)).select(lengths.source, "size", "n", "source_size", "target")
+    plan = plan.withColumnRenamed("source", "of")
+    fitted = lengths.join(plan, lengths.source.eqNullSafe(plan.of)).select("source", "size", "n", "source_size", "target")
     fitted = materialize(fitted.groupBy("source").applyInPandas(fit, "source string, size long, n long, source_size long, target double, base int, extra long"), "fitted")
     parts = fitted.filter("extra > 0 and extra < n").select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), "extra")
 
@@ -174,14 +176,16 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: i
 
 
 def resample(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as ``mix`` takes it (0 to ``cap`` times); same columns.
+    """``docs`` with each row as often as ``mix`` takes it (0 to ``cap`` times); same columns, clashing names included.
 
-    Rows that repeat an id and a size get the same number of copies.
+    Rows that repeat an id and a size get the same number of copies; rows without an
+    id or a source take part; null and empty texts are taken like the base copies of
+    their source. An empty table gives no rows.
     """
     key, origin, copies, copy = fresh(docs, "_id", "_source", "_copies", "_copy")
     taken = mix(docs, weights, cap, seed, id_col, text_col, source_col)
     taken = taken.groupBy("id", "source").agg(F.max("copies").alias("copies")).filter("copies > 0")
     taken = materialize(taken.select(F.col("id").alias(key), F.col("source").alias(origin), F.col("copies").alias(copies)), "taken")
     on = docs[id_col].cast("long").eqNullSafe(F.col(key)) & docs[source_col].cast("string").eqNullSafe(F.col(origin))
-    joined = docs.join(taken, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(copy))
+    joined = docs.join(taken.hint("merge"), on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(copy))
     return joined.drop(copy)

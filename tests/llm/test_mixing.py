@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,12 +37,56 @@ def test_long_budgets_are_filled_greedily_first():
         assert abs(int((take * sizes).sum()) - budget) <= 5
 
 
-def test_targets_are_capped_and_reshared():
-    got = mixing.targets(pd.DataFrame({"source": ["b", None, "a", "c"], "source_size": [1000, 10, 10, 0]}), [1, 2, 3], 3)
-    assert got.source.tolist() == ["a", "b", "c", None]
-    by = dict(zip(got.source, got.target))
-    assert by["a"] == 30 and by[None] == 30 and by["b"] == pytest.approx(960) and by["c"] == 0
-    assert mixing.targets(pd.DataFrame({"source": [], "source_size": []}), [1], 3).empty
+def brute_targets(sizes, weights, cap):
+    """Targets by sharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    out, open_, left = dict.fromkeys(names, 0.0), {s for s in names if sizes[s]}, float(sum(sizes.values()))
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > cap * sizes[s]}
+        if not above:
+            out |= share
+            break
+        out |= {s: cap * sizes[s] for s in above}
+        left -= sum(cap * sizes[s] for s in above)
+        open_ -= above
+    return out
+
+
+def test_targets_are_capped_and_reshared(spark):
+    rng = np.random.default_rng(3)
+    many = {f"s{i:03d}": int(10 ** rng.uniform(0, 6)) for i in range(300)} | {None: 40, "S": 0, "\u00e9": 7, "\U0001f600": 9}
+    for sizes in ({"b": 1000, None: 10, "a": 10, "c": 0}, many, {"one": 5}, {"none": 0}, {}):
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(df, [1, 2, 3], 3).collect()}
+        assert got == pytest.approx(brute_targets(sizes, [1, 2, 3], 3))
+
+
+def test_the_whole_mix_against_plain_python(spark):
+    """Sizes, targets, budgets and the draw, all done again without Spark."""
+    rng = np.random.default_rng(11)
+    texts = [None if i % 97 == 0 else " ".join(["w"] * int(rng.integers(0, 30))) for i in range(700)]
+    sources = [["web", "books", None, "tiny"][int(x)] if x < 3 or i % 20 == 0 else "web" for i, x in enumerate(rng.integers(0, 4, 700))]
+    df = frame(spark, texts, sources=sources, clash=False)
+    size = [len((t or "").split()) for t in texts]
+    total = {s: sum(n for n, x in zip(size, sources) if x == s) for s in set(sources)}
+    goal = brute_targets(total, [1, 2, 3], 3)
+    draw = {r.doc_id: r.h for r in df.select("doc_id", F.lit(17).alias("s"), F.col("doc_id").alias("i")).join(spark.createDataFrame(list(enumerate(size)), "doc_id long, size long"), "doc_id").select("doc_id", F.xxhash64(F.lit(17), "i", "size").alias("h")).collect()}
+    want = {}
+    for s in total:
+        ids = [i for i, x in enumerate(sources) if x == s]
+        base = min(int(goal[s] // total[s]), 3) if total[s] else 0
+        budget = round(goal[s]) - base * total[s] if base < 3 else 0
+        lengths = sorted({size[i] for i in ids})
+        counts = [sum(size[i] == n for i in ids) for n in lengths]
+        extra = dict(zip(lengths, mixing.fit_counts(np.array(lengths), np.array(counts), budget).tolist()))
+        for n in lengths:
+            ranked = sorted((draw[i], i) for i in ids if size[i] == n)
+            for place, (_, i) in enumerate(ranked):
+                want[i] = base + (place < extra[n])
+        assert abs(sum(want[i] * size[i] for i in ids) - goal[s]) <= 1
+    assert {r.id: r.copies for r in mixing.mix(df).collect()} == want
 
 
 
