@@ -19,6 +19,8 @@ PIECES = 1_000_000
 #: Pieces that are joined into one text to be encoded.
 JOINED = 256
 SEPARATOR = "\x01"
+#: Signs that are a word of their own behind letters, however many.
+TAIL = ".,;:!?#%$&*-"
 
 
 class _Numbers(dict):
@@ -68,6 +70,12 @@ class Encoder:
             self.lower = any(n.get("type") == "Lowercase" for n in _norms(spec))
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
+            suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+            self.ends = None
+            if suffix:
+                self.ends = np.zeros(self.top, bool)
+                for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                    self.ends[i] = token.endswith(suffix)
             ids = self._plain(SEPARATOR)
             self.separator = ids[0] if len(ids) == 1 else None
             if self.separator is None:
@@ -126,26 +134,48 @@ class Encoder:
         return pieces
 
     def _learn(self, fresh: list[str]) -> None:
-        whole = np.fromiter((k.startswith("\x00") for k in fresh), bool, len(fresh))
-        joined = [k for k in fresh if not k.startswith("\x00")]
-        ids, lens = [], []
-        for i in range(0, len(joined), JOINED):
-            x, n = self._chunk(joined[i : i + JOINED])
-            ids.append(x)
-            lens.append(n)
-        alone = [np.array(self._plain(k[1:]), self.dtype) for k in fresh if k.startswith("\x00")]
-        length = np.zeros(len(fresh), np.int64)
-        if joined:
-            length[~whole] = np.concatenate(lens)
-        length[whole] = [len(x) for x in alone]
-        offset = np.zeros(len(fresh), np.int64)
-        n = length[~whole]
-        offset[~whole] = np.cumsum(n) - n
-        w = length[whole]
-        offset[whole] = n.sum() + np.cumsum(w) - w
-        self.offset.add(self.flat.size + offset)
+        count = np.fromiter(map(self._parts, fresh), np.int64, len(fresh))
+        length, offset = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+
+        def put(at: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+            length[at] = lens
+            offset[at] = self.flat.size + np.cumsum(lens) - lens
+            self.flat.add(ids)
+
+        for kind in (count > 0, count == 0):
+            group = np.flatnonzero(kind)
+            for i in range(0, len(group), JOINED):
+                at = group[i : i + JOINED]
+                pieces = [fresh[j] for j in at.tolist()]
+                put(at, *((self._by_ends(pieces, count[at]) if count[at[0]] else None) or self._chunk(pieces)))
+        for j in np.flatnonzero(count < 0).tolist():
+            ids = np.array(self._plain(fresh[j][1:]), self.dtype)
+            put(np.array([j]), ids, np.array([len(ids)]))
+        self.offset.add(offset)
         self.length.add(length)
-        self.flat.add(np.concatenate([*ids, *alone]))
+
+    def _parts(self, piece: str) -> int:
+        """Into how many words the tokenizer cuts a piece, 0 if that is not told here, -1 if it stands for itself."""
+        if piece[:1] == "\x00":
+            return -1
+        if self.kind != "words" or self.ends is None:
+            return 0
+        if piece.isalpha():
+            return 1
+        base = piece.rstrip(TAIL)
+        return 2 if len(base) < len(piece) and base.isalpha() else 0
+
+    def _by_ends(self, pieces: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """As ``_chunk``, for pieces of known numbers of words, cut by the tokens that end a word; None if that does not come out."""
+        ids = self._encoded(" ".join(pieces))
+        ends, upto = np.flatnonzero(self.ends[ids]), np.cumsum(count)
+        if len(ends) != upto[-1] or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends[upto - 1], prepend=-1)
+
+    def _encoded(self, text: str) -> np.ndarray:
+        plain = max(text, default=" ") < "\u0300" and (not self.lower or text == text.lower())  # normalizing changes nothing
+        return np.array((self.bare if plain else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
 
     def _chunk(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, from one text that holds them, and how many each has."""
@@ -157,8 +187,7 @@ class Encoder:
                 return ids, np.diff(np.append(cuts, len(ids)))
         else:
             text = f" {SEPARATOR} ".join(pieces)
-            plain = max(text, default=" ") < "\u0300" and (not self.lower or text == text.lower())  # normalizing changes nothing
-            ids = np.array((self.bare if plain else self.tokenizer).encode(text, add_special_tokens=False).ids, self.dtype)
+            ids = self._encoded(text)
             mark = ids == self.separator
             cuts = np.flatnonzero(mark)
             if len(cuts) == len(pieces) - 1:
